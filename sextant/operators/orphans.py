@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.paths import canonical_path, module_candidates, relative_base
-from sextant.operators.skew import skew_join
+from sextant.operators.skew import heavy_keys, skew_join
+from sextant.session import cut
 
 #: Parts in which the lives of one key are merged first, so that a key with very many lives loads no single task.
 MERGE_PARTS = 16
@@ -44,19 +45,20 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: list[str], at:
     ``parents`` has the keys and the lives: born (inclusive), died (exclusive, null: never); a key may have several.
     Rows with a null in a key refer to nothing and are no cases. A null ``at`` can't be placed in time: such a row is
     a case only if its key has no life at all. Repeated rows are cases each. All columns of ``refs`` are kept.
+
+    The heavy keys and the keys that fail are written to the checkpoint folder, so that neither is worked out twice.
     """
     present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     refs = refs.where(present)
     parents = parents.select(*keys, "born", "died").where(present & F.col("born").isNotNull())
-    fk = refs.groupBy(*keys).agg(F.min(at).alias("__first"), F.max(at).alias("__last"), F.count(F.lit(1)).alias("__n"))
+    heavy = cut(heavy_keys(refs, keys))
+    fk = refs.groupBy(*keys).agg(F.min(at).alias("__first"), F.max(at).alias("__last"))
     same = lambda a, b, names: reduce(lambda x, y: x & y, [a[k] == b[n] for k, n in zip(keys, names)])
     pk = [f"__p{i}" for i in range(len(keys))]
     p = parents.select(*[F.col(k).alias(n) for k, n in zip(keys, pk)], F.col("born").alias("__born"), F.col("died").alias("__died"))
     whole = (p["__born"] <= fk["__first"]) & (p["__died"].isNull() | (p["__died"] > fk["__last"]))
-    suspects = fk.join(p, same(fk, p, pk) & (fk["__first"].isNull() | whole), "left_anti")
-    total = fk.agg(F.sum("__n")).scalar()
-    heavy = suspects.where(F.col("__n") >= F.greatest(F.lit(2), total * 0.01)).select(*keys)
-    rows = skew_join(refs, suspects.select(*keys), keys, "left_semi", heavy=heavy)
+    suspects = cut(fk.join(p, same(fk, p, pk) & (fk["__first"].isNull() | whole), "left_anti").select(*keys))
+    rows = skew_join(refs, suspects, keys, "left_semi", heavy=heavy)
     alive = lambda l, r: l[at].isNull() | ((r["__born"] <= l[at]) & (r["__died"].isNull() | (r["__died"] > l[at])))
     lives = parents.select(*keys, F.col("born").alias("__born"), F.col("died").alias("__died"))
     return skew_join(rows, lives, keys, "left_anti", condition=alive, heavy=heavy)
@@ -97,7 +99,7 @@ def orphan_report(edges: DataFrame, lsp: DataFrame, cross: DataFrame, imports: D
         ("edges", edges.select("id", F.col("target_id").alias("k"), "recorded_at"), lives.select(F.col("id").alias("k"), "born", "died"), ["k"]),
         ("lsp_edges", lsp.select("id", canonical_path(F.col("target_fqn")).alias("k"), "recorded_at"), lives.select(F.col("fqn").alias("k"), "born", "died"), ["k"]),
         ("cross_repo_edges", cross.select("id", canonical_path(F.col("target_fqn")).alias("k"), F.col("target_repo").alias("repo"), "recorded_at"), lives.select(F.col("fqn").alias("k"), "repo", "born", "died"), ["k", "repo"]),
-        ("import_refs", imports.select("id", import_key().alias("k"), "recorded_at"), module_lives(nodes, known).withColumnRenamed("key", "k"), ["k"]),
+        ("import_refs", imports.select("id", import_key().alias("k"), "recorded_at"), cut(module_lives(nodes, known)).withColumnRenamed("key", "k"), ["k"]),
     ]
     out = None
     for name, refs, parents, keys in parts:
