@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sextant.llm import leximin, relevance, tokens
+from sextant.llm import leximin, permutation, relevance, tokens
 from sextant.session import table
 
 
@@ -17,6 +17,14 @@ def p3_ranking(spark, d):
     return leximin.search_ranking(table(spark, d, "search_results"), k=2**31 - 1)
 
 
+def p4_found(spark, d):
+    return permutation.neighbour_pairs(table(spark, d, "node_embeddings_dense"))
+
+
+def p4_neighbours(spark, d):
+    return permutation.nearest_neighbours(table(spark, d, "node_embeddings_dense")).withColumn("cosine", F.round("cosine", 6))
+
+
 def p7_found(spark, d):
     return relevance.marking_terms(table(spark, d, "nodes"), table(spark, d, "node_embeddings")).select("node_id", "term")
 
@@ -29,7 +37,7 @@ def p8_ids(spark, d):
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p7_found, p7_weights, p8_ids)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p4_neighbours, p7_found, p7_weights, p8_ids)}
 
 LEXIMIN = """
 items AS (SELECT query_id, node_id, max(score_breakdown.bm25) AS a, max(score_breakdown.semantic) AS b, max(score_breakdown.graph) AS c
@@ -41,6 +49,15 @@ st AS (SELECT query_id, node_id, list_sort(list(CASE WHEN n <= 1 THEN 1.0 ELSE (
 ranked AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY standing DESC, node_id) AS rank, standing FROM st)
 """
 
+NEIGHBOURS = """
+newest AS (SELECT node_id, arg_max(vector, updated_at) AS v FROM (SELECT node_id, coalesce(vector, []) AS vector, updated_at FROM node_embeddings_dense WHERE node_id IS NOT NULL) GROUP BY 1),
+u AS (SELECT node_id, v::DOUBLE[] AS v, len(v) AS d, sqrt(list_sum(list_transform(v::DOUBLE[], lambda x: x * x))) AS n FROM newest WHERE len(v) > 0),
+p AS (SELECT a.node_id AS node, b.node_id AS neighbour, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.n * b.n) AS cosine
+  FROM u a JOIN u b ON a.d = b.d AND a.node_id <> b.node_id WHERE a.n > 0 AND b.n > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cosine DESC, neighbour) AS rank FROM p WHERE cosine >= 0.9),
+top AS (SELECT * FROM r WHERE rank <= 5)
+"""
+
 POSTINGS = r"""
 newest AS (SELECT node_id, max(struct_pack(u := updated_at, v := vector_json)).v AS v FROM node_embeddings WHERE node_id IS NOT NULL GROUP BY 1),
 src AS (SELECT id AS node_id, CASE WHEN regexp_replace(body_preview, '^\s+', '') = '' THEN NULL ELSE body_preview END AS body FROM nodes WHERE id IS NOT NULL),
@@ -56,6 +73,8 @@ st AS (SELECT count(*) AS n, avg(l) AS a FROM dl)
 ORACLE = {
     "p3_found": f"WITH {LEXIMIN} SELECT query_id, node_id FROM ranked WHERE rank <= 5",
     "p3_ranking": f"WITH {LEXIMIN} SELECT query_id, node_id, rank::INTEGER AS rank, standing FROM ranked",
+    "p4_found": f"WITH {NEIGHBOURS} SELECT DISTINCT least(node, neighbour) AS node_a, greatest(node, neighbour) AS node_b FROM top",
+    "p4_neighbours": f"WITH {NEIGHBOURS} SELECT node, neighbour, round(cosine, 6) AS cosine, rank::INTEGER AS rank FROM top",
     "p7_found": f"WITH {POSTINGS} SELECT node_id, term FROM post JOIN df USING (term) WHERE tf >= 3 AND df <= 5",
     "p7_weights": f"""WITH {POSTINGS} SELECT node_id, term,
   round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l / a)), 6) AS weight
