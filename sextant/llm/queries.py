@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sextant.llm import leaks, leximin, permutation, relevance, tokens
+from sextant.llm import leaks, leximin, permutation, reading, relevance, tokens
 from sextant.session import table
 
 
@@ -41,7 +41,11 @@ def p9_found(spark, d):
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p4_neighbours, p7_found, p7_weights, p8_ids, p9_found)}
+def p10_found(spark, d):
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p4_neighbours, p7_found, p7_weights, p8_ids, p9_found, p10_found)}
 
 LEXIMIN = """
 items AS (SELECT query_id, node_id, max(score_breakdown.bm25) AS a, max(score_breakdown.semantic) AS b, max(score_breakdown.graph) AS c
