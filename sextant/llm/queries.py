@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sextant.llm import leaks, leximin, permutation, reading, relevance, tokens
+from sextant.llm import leaks, leximin, pairs, permutation, reading, relevance, tokens
 from sextant.session import table
 
 
@@ -25,6 +25,14 @@ def p4_neighbours(spark, d):
     return permutation.nearest_neighbours(table(spark, d, "node_embeddings_dense")).withColumn("cosine", F.round("cosine", 6))
 
 
+def p6_found(spark, d):
+    return pairs.function_pairs(table(spark, d, "nodes")).select("node_id")
+
+
+def p6_pairs(spark, d):
+    return pairs.function_pairs(table(spark, d, "nodes"))
+
+
 def p7_found(spark, d):
     return relevance.marking_terms(table(spark, d, "nodes"), table(spark, d, "node_embeddings")).select("node_id", "term")
 
@@ -45,7 +53,7 @@ def p10_found(spark, d):
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p4_neighbours, p7_found, p7_weights, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p4_neighbours, p6_found, p6_pairs, p7_found, p7_weights, p8_ids, p9_found, p10_found)}
 
 LEXIMIN = """
 items AS (SELECT query_id, node_id, max(score_breakdown.bm25) AS a, max(score_breakdown.semantic) AS b, max(score_breakdown.graph) AS c
