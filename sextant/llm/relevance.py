@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.operators.skew import HEAVY_SHARE, skew_join
+from sextant.session import cut
 
 K1, B = 1.2, 0.75
-#: A run of word characters; what makes a run a term.
-RUN, TERM = "[A-Za-z0-9_]+", "^[A-Za-z_][A-Za-z0-9_]{2,}$"
+#: A term within a text; a whole string that is a term.
+RUN, TERM = "(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{2,}", "^[A-Za-z_][A-Za-z0-9_]{2,}$"
 
 
 def blank(c: Column) -> Column:
@@ -34,19 +35,18 @@ def term_postings(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
     a digit, counted in the whole body_preview; where that is null or blank, those of the newest vector_json. A node
     with neither has no rows. Counts of a vector that are null or not positive are ignored; keys that differ in case only are added up.
 
-    Both tables are brought together by node id; tokenising and counting then happen where the node's row lies, so
-    that no posting is shuffled before it is counted.
+    The texts are spread by node id, then tokenised and counted where they lie, so that no posting is shuffled before it is
+    counted. Only nodes without a body are joined with their vectors.
     """
-    n = nodes.where(F.col("id").isNotNull()).select(F.col("id").alias("node_id"), F.when(~blank(F.col("body_preview")), F.col("body_preview")).alias("body"))
-    j = n.join(newest_vectors(vectors).hint("merge"), F.col("node_id") == F.col("vector_node"), "left").drop("vector_node")
-    words = F.filter(F.regexp_extract_all("body", F.lit(RUN), F.lit(0)), lambda t: t.rlike(TERM))
-    body = F.transform(words, lambda t: F.struct(F.lower(t).alias("term"), F.lit(1.0).alias("n")))
-    pairs = F.filter(F.map_entries("counts"), lambda e: e["key"].rlike(TERM) & (e["value"] > 0))
-    vec = F.transform(pairs, lambda e: F.struct(F.lower(e["key"]).alias("term"), e["value"].alias("n")))
-    terms = F.when(F.col("body").isNotNull(), body).otherwise(vec)
-    t = j.select("node_id", terms.alias("terms")).where(F.size("terms") > 0)
-    t = t.select("node_id", F.aggregate("terms", F.lit(0.0), lambda a, x: a + x["n"]).alias("length"), F.inline("terms"))
-    return t.groupBy("node_id", "length", "term").agg(F.sum("n").alias("tf"))
+    n = nodes.where(F.col("id").isNotNull()).select(F.col("id").alias("node_id"), "body_preview")
+    text = n.where(~blank(F.col("body_preview"))).repartition("node_id").select("node_id", F.regexp_extract_all("body_preview", F.lit(RUN), F.lit(0)).alias("words"))
+    text = text.select("node_id", F.size("words").cast("double").alias("length"), F.explode("words").alias("w"))
+    text = text.groupBy("node_id", "length", F.lower("w").alias("term")).agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    bare = n.where(blank(F.col("body_preview"))).select("node_id")
+    vec = bare.join(newest_vectors(vectors), F.col("node_id") == F.col("vector_node")).select("node_id", F.explode("counts").alias("w", "n")).where(F.col("w").rlike(TERM) & (F.col("n") > 0))
+    vec = vec.groupBy("node_id", F.lower("w").alias("term")).agg(F.sum("n").alias("tf"))
+    vec = vec.select("node_id", F.sum("tf").over(Window.partitionBy("node_id")).alias("length"), "term", "tf")
+    return text.unionByName(vec)
 
 
 def bm25_weights(postings: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -56,7 +56,7 @@ def bm25_weights(postings: DataFrame, k1: float = K1, b: float = B) -> DataFrame
     number of nodes with the term and N the number of nodes with any term. Statistics are over all nodes, computed here.
     Frequent terms (at most 1 / HEAVY_SHARE of them) are joined in salted parts.
     """
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = cut(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     docs = postings.select("node_id", "length").distinct()
     n, avg = docs.agg(F.count(F.lit(1))).scalar(), docs.agg(F.avg("length")).scalar()
     heavy = df.where(F.col("df") >= F.greatest(F.lit(2), df.agg(F.sum("df")).scalar() * HEAVY_SHARE)).select("term")
