@@ -20,6 +20,7 @@ CROSS_REPO_EDGES = "id long, workspace_id string, source_repo string, source_fqn
 CO_CHANGE = "file_a string, file_b string, coupling_score double, shared_commits long"
 FILE_LINEAGE = "file_path string, commit_count long, churn_score double, last_author string, last_commit_ts timestamp"
 EMBEDDINGS = "node_id long, vector_json string"
+TFIDF_VOCAB = "term string, df long, idf double"
 DENSE = "node_id long, vector array<float>, model_name string"
 COMMITS = "commit string, file_path string, author string, ts timestamp"
 REQUEST_LOG = "ts timestamp, session string, event string, tool string, args map<string,string>, elapsed_ms double, result_chars long, result_tokens_approx long, preview string, error string"
@@ -27,5 +28,5 @@ REQUEST_LOG = "ts timestamp, session string, event string, tool string, args map
 TABLES = {
     "nodes": NODES, "edges": EDGES, "call_refs": CALL_REFS, "import_refs": IMPORT_REFS, "file_cache": FILE_CACHE, "observations": OBSERVATIONS,
     "observation_node_links": OBSERVATION_LINKS, "sessions": SESSIONS, "lsp_edges": LSP_EDGES, "cross_repo_edges": CROSS_REPO_EDGES, "co_change_edges": CO_CHANGE,
-    "file_lineage": FILE_LINEAGE, "node_embeddings": EMBEDDINGS, "node_embeddings_dense": DENSE,
+    "file_lineage": FILE_LINEAGE, "tfidf_vocab": TFIDF_VOCAB, "node_embeddings": EMBEDDINGS, "node_embeddings_dense": DENSE,
 }

@@ -167,7 +167,7 @@ def read_tree(spark: SparkSession, root: str, partitions: int = 8) -> DataFrame:
 
 
 def read_stored_tree(spark: SparkSession, url: str, patterns: list[str] | None = None) -> DataFrame:
-    """The source files below a folder on shared storage, listed and read by Spark: file_path, lang, content, content_hash."""
+    """The source files below a folder on shared storage, listed and read by Spark: file_path, lang, content, content_hash. Empty files have nothing to read and are left out."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(url)
     base = url.rstrip("/").split("://")[-1].split(":")[-1]
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), f"^.*?{re.escape(base)}/", "")
