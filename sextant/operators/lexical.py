@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import ACCENTS, PLAIN, STOPWORDS, fts_tokens
+from sextant.session import spread
 
 #: Weights of the searched columns.
 FIELDS = {"name": 10.0, "fqn": 5.0, "docstring": 1.0, "signature": 2.0, "body_preview": 0.5}
@@ -30,12 +31,12 @@ def phrases(query: str) -> list[list[str]]:
     return [p for w in parse_query(query) if (p := re.findall(r"[^\W_]+", w.lower().translate(fold)))]
 
 
-def _hits(tokens: Column, phrase: list[str]) -> Column:
-    first = F.lit(phrase[0])
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == first))
-    whole = F.array(*map(F.lit, phrase))
-    return F.size(F.filter(tokens, lambda t, i: (t == first) & (F.slice(tokens, i + 1, len(phrase)) == whole)))
+def _hits(tokens: Column, phrase: Column) -> Column:
+    """Places at which a phrase (array of words) stands among the tokens. It is looked for only where its first word stands."""
+    first = phrase[0]
+    single = F.size(tokens) - F.size(F.array_remove(tokens, first))
+    several = F.size(F.filter(tokens, lambda t, i: (t == first) & (F.slice(tokens, i + 1, F.size(phrase)) == phrase)))
+    return F.when(F.array_contains(tokens, first), F.when(F.size(phrase) == 1, single).otherwise(several)).otherwise(0)
 
 
 def bm25_search(docs: DataFrame, query: str, fields: dict[str, float] | None = None, id_col: str = "id", limit: int | None = 100) -> DataFrame:
@@ -49,14 +50,16 @@ def bm25_search(docs: DataFrame, query: str, fields: dict[str, float] | None = N
     ps = phrases(query)
     if not ps:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where(F.lit(False))
-    t = docs.select(F.col(id_col).alias("id"), *[fts_tokens(F.col(f)).alias(f"t_{f}") for f in fields])
+    t = spread(docs.select(F.col(id_col).alias("id"), *fields), "id").select("id", *[fts_tokens(F.col(f)).alias(f"t_{f}") for f in fields])
     length = sum((F.size(f"t_{f}") for f in fields), F.lit(0)).cast("double")
-    h = t.select("id", length.alias("len"), *[sum((F.lit(w) * _hits(F.col(f"t_{f}"), p) for f, w in fields.items()), F.lit(0.0)).alias(f"h{i}") for i, p in enumerate(ps)])
-    s = h.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"h{i}") > 0).alias(f"n{i}") for i in range(len(ps))]).alias("s")).scalar()
+    wanted = F.array(*[F.array(*map(F.lit, p)) for p in ps])
+    hits = F.transform(wanted, lambda p: sum((F.lit(w) * _hits(F.col(f"t_{f}"), p) for f, w in fields.items()), F.lit(0.0)))
+    # inline keeps the filter on the hits above the projection, so that they are counted once for each row
+    h = t.select("id", F.inline(F.array(F.struct(length.alias("len"), hits.alias("h")))))
+    s = h.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col("h")[i] > 0).alias(f"n{i}") for i in range(len(ps))]).alias("s")).scalar()
     idf = lambda i: F.greatest(F.log((s["n"] - s[f"n{i}"] + 0.5) / (s[f"n{i}"] + 0.5)), F.lit(1e-6))
-    part = lambda i: idf(i) * F.col(f"h{i}") * (K1 + 1) / (F.col(f"h{i}") + K1 * (1 - B + B * F.col("len") / s["avg"]))
-    any_hit = sum((F.col(f"h{i}") for i in range(len(ps))), F.lit(0.0)) > 0
-    out = h.where(any_hit).select("id", sum((F.when(F.col(f"h{i}") > 0, part(i)).otherwise(0.0) for i in range(len(ps))), F.lit(0.0)).alias("score"))
+    part = lambda i: idf(i) * F.col("h")[i] * (K1 + 1) / (F.col("h")[i] + K1 * (1 - B + B * F.col("len") / s["avg"]))
+    out = h.where(F.exists("h", lambda x: x > 0)).select("id", sum((F.when(F.col("h")[i] > 0, part(i)).otherwise(0.0) for i in range(len(ps))), F.lit(0.0)).alias("score"))
     return out if limit is None else out.orderBy(F.col("score").desc(), "id").limit(limit)
 
 

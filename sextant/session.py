@@ -54,3 +54,13 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of a data folder, a file or a folder of files."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, key: str, bytes_per_core: int = 4 << 20) -> DataFrame:
+    """``df`` over all cores, where its input is so small that the scan would be one or a few tasks.
+
+    For work that is heavy per row. It looks at the optimizer's estimate of the size only; larger inputs are left as they are scanned.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(n, key) if size < n * bytes_per_core else df

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.session import spread
+
 #: Names that make no call edge.
 SKIP_CALLS = frozenset(
     """print len range isinstance type str int float list dict set tuple bool open super object max min sum abs zip map filter enumerate
@@ -346,7 +348,7 @@ def extract_symbols(files: DataFrame) -> DataFrame:
                 rows.append((path, lang, f.symbols, f.edges, error))
             yield pd.DataFrame(rows, columns=["file_path", "lang", "symbols", "edges", "error"])
 
-    return files.select("file_path", "lang", "content").mapInPandas(run, FILE_SYMBOLS)
+    return spread(files.select("file_path", "lang", "content"), "file_path").mapInPandas(run, FILE_SYMBOLS)
 
 
 def symbol_rows(extracted: DataFrame, repo_alias: str = "primary") -> DataFrame:
