@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from sextant.functions.paths import canonical_path
 
+MAX_BROADCAST_RUNS = 100_000
+
 
 def log_versions(log: DataFrame) -> DataFrame:
     """The delivered versions: file_path (canonical), version (lower-cased hash), at, row_id, batch_id. Null hashes, paths or batches are ignored."""
@@ -47,13 +49,15 @@ def replay_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
     don't matter; repeated, late and unchanged rows make no case; rows with a null hash or path are ignored. Without runs or rows nothing comes out.
 
     The log is reduced to the winning row of each file and batch on the map side, so a file or a batch with most of
-    the rows costs no task more. Later steps see at most one row per file and run. The table of runs is broadcast:
-    one row per run, and it is reduced to the runs' ids and bounds.
+    the rows costs no task more. Later steps see at most one row per file and run. The runs' ids and bounds are broadcast if there are at most
+    MAX_BROADCAST_RUNS of them.
     """
     v = log_versions(log)
     win = reread_windows(runs)
     best = v.groupBy("file_path", "batch_id").agg(F.max(F.struct("at", "row_id", "version")).alias("s"))
-    reads = best.join(F.broadcast(win), (best["batch_id"] >= win["low"]) & (best["batch_id"] <= win["high"]))
+    # one row per run: broadcast up to a checked number of runs, beyond it left to the optimizer
+    small = F.broadcast(win) if runs.count() <= MAX_BROADCAST_RUNS else win
+    reads = best.join(small, (F.col("batch_id") >= F.col("low")) & (F.col("batch_id") <= F.col("high")))
     cand = reads.groupBy("file_path", "run_id").agg(F.max("s").alias("s"))
     w = Window.partitionBy("file_path").orderBy("run_id")
     state = cand.select("file_path", "run_id", F.max("s").over(w.rowsBetween(Window.unboundedPreceding, 0))["version"].alias("version"), F.row_number().over(w).alias("seq"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions.paths import canonical_path
@@ -11,9 +11,9 @@ from sextant.session import table
 
 QUERY = "order the pending cursor records and fetch_symbol of a stream registry"
 
-#: Commits: an order is a commit, a part is a file, numbered by path.
+#: Commits: an order is a commit, a part is the file whose smallest node id is the part's key.
 COMMITS_SQL = """
-files AS (SELECT file_path, row_number() OVER (ORDER BY file_path) AS no FROM (SELECT DISTINCT file_path FROM nodes)),
+files AS (SELECT file_path, min(id) AS no FROM nodes GROUP BY 1),
 commits AS (SELECT l_orderkey AS commit, f.file_path, o.o_custkey::VARCHAR AS author, o.o_orderdate AS ts FROM lineitem JOIN files f ON f.no = l_partkey JOIN orders o ON o.o_orderkey = l_orderkey),
 fc AS (SELECT file_path, count(DISTINCT commit) AS n FROM commits GROUP BY 1),
 dc AS (SELECT DISTINCT commit, file_path FROM commits),
@@ -24,7 +24,7 @@ lineage AS (SELECT file_path, count(DISTINCT commit) AS commit_count, count(DIST
 
 
 def commits(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "nodes").select("file_path").distinct().withColumn("no", F.row_number().over(Window.orderBy("file_path")))
+    files = table(spark, d, "nodes").groupBy("file_path").agg(F.min("id").alias("no"))
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     j = l.select("l_orderkey", "l_partkey").join(files, F.col("l_partkey") == F.col("no")).join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(F.col("l_orderkey").alias("commit"), "file_path", F.col("o_custkey").cast("string").alias("author"), F.col("o_orderdate").alias("ts"))
