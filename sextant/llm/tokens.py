@@ -1,8 +1,9 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer.
 
-Short texts are encoded whole. Long texts are divided into overlapping chunks that are pre-tokenised in parallel; two
-neighbouring chunks are stitched at the first place in their overlap at which every scan has a boundary, whatever
-came before. The pieces between the stitches are encoded and their ids concatenated. Decoding concatenates the bytes of the ids.
+Texts are divided into overlapping chunks that are pre-tokenised independently; two neighbouring chunks are stitched at the
+first place in their overlap at which every scan has a boundary, whatever came before. The pieces between the stitches
+are encoded and their ids concatenated. The chunks of a very long text are spread over tasks, those of all others are handled
+where the row lies. Decoding concatenates the bytes of the ids.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 TOKENIZER_DIR = os.environ.get("SEXTANT_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits text before the merges of the vocabulary byte_bpe_50k.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK, OVERLAP = 100_000, 512
+CHUNK, OVERLAP = 4096, 256
+#: Texts with more chunks than this are spread over tasks.
+SPREAD_CHUNKS = 64
 #: A vocabulary file above this size is refused, as its bytes go to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -69,19 +72,21 @@ def piece(window: str, number: int, core: int, last: bool) -> str:
     """
     import regex
 
-    scan = _cache.setdefault("scan", regex.compile(PATTERN))
+    if number == 0 and last:
+        return window
+    scan = _cache.get("scan") or _cache.setdefault("scan", regex.compile(PATTERN))
     stitches = [m.start() for m in scan.finditer(window) if m.start() and _sync(window, m.start())]
     start = next(iter(stitches), len(window)) if number else 0
     end = len(window) if last else next((i for i in stitches if i >= core), len(window))
     return window[start:end]
 
 
-def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = "byte_bpe_50k", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = "byte_bpe_50k", chunk: int = CHUNK, overlap: int = OVERLAP, spread_chunks: int = SPREAD_CHUNKS) -> DataFrame:
     """Ids of every row's text: the id column and ``ids`` (array of int), one row per row of ``docs``.
 
     Null and empty texts have an empty list. Strings that look like special tokens are plain text. Rows with a null id are kept.
-    Extra columns are ignored. Texts of up to ``chunk`` characters are encoded in place, in Arrow batches; only longer ones are shuffled, by chunk
-    and then by row. The vocabulary's file is read on the driver and sent to the executors, its size is checked.
+    Extra columns are ignored. Texts of up to ``chunk`` * ``spread_chunks`` characters stay where they are, in Arrow batches; only longer ones are
+    shuffled, by chunk and then by row. The vocabulary's file is read on the driver and sent to the executors, its size is checked.
     """
     path = os.path.join(tokenizer_dir, f"{vocabulary}.tiktoken")
     if os.path.getsize(path) > MAX_VOCABULARY_BYTES:
@@ -92,10 +97,10 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     ints = pa.list_(pa.int32())
 
-    def short(batches):
+    def here(batches):
         enc = _encoder(vocabulary, ranks.value)
         for b in batches:
-            out = [enc.encode_ordinary(t) for t in b.column(1).to_pylist()]
+            out = [[i for c, w, core, last in windows(t, chunk, overlap) for i in enc.encode_ordinary(piece(w, c, core, last))] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, ints)], names=["k", "ids"])
 
     def split(batches):
@@ -112,8 +117,8 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out = [enc.encode_ordinary(piece(w, c, core, last)) for w, c, core, last in zip(*cols)]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + [pa.array(out, ints)], names=["k", "h", "n", "c", "ids"])
 
-    long = F.length("t") > chunk
-    a = d.where(~long).mapInArrow(short, f"k {kind}, ids array<int>")
+    long = F.length("t") > chunk * spread_chunks
+    a = d.where(~long).mapInArrow(here, f"k {kind}, ids array<int>")
     x = d.where(long).groupBy("k", "t").agg(F.count(F.lit(1)).alias("n")).select("k", "t", F.xxhash64("t").alias("h"), "n")
     x = x.mapInArrow(split, f"k {kind}, h long, n long, c int, w string, core int, last boolean").repartition("k", "h", "c")
     x = x.mapInArrow(encode, f"k {kind}, h long, n long, c int, ids array<int>")

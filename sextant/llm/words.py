@@ -23,6 +23,7 @@ _INLINE = re.compile(rf"</?(?:{INLINE})(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z]\w*);")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
+_SOFT_END = re.compile(r"\u00ad(?=[ \t]*[\r\n])")
 _LINE = re.compile(r"^[ \t]*(?:\d+[ \t]*[:|][ \t]?)?(?:[ \t]*(?:///?|//!|--+|#+|\*+|>+|\||%+|;+|[-+•·‣]))*(?=[ \t]|\w|$)", re.M)
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑][ \t]*(?:\r\n?|\n)[ \t]*(?=\w)")
 _JOIN = re.compile(r"(?<=[^\W_])(?:[-‐‑_'’]|\*\*?|__?|~~|`)(?=[^\W_])")
@@ -38,7 +39,7 @@ def words(text: str | None) -> list[str]:
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m.group(0)), text)
     if not text.isascii():
-        text = _INVISIBLE.sub("", text)
+        text = _INVISIBLE.sub("", _SOFT_END.sub("-", text))
         text = unicodedata.normalize("NFKD", text)
         text = "".join(c for c in text if not unicodedata.combining(c)).casefold().translate(_FOLD)
     else:

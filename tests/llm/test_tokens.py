@@ -46,11 +46,12 @@ def test_equal_to_another_library(data):
         assert whole(text, data) == t.encode(text, add_special_tokens=False).ids
 
 
-def test_rows(spark, data):
+@pytest.mark.parametrize("spread", [1, 100])
+def test_rows(spark, data, spread):
     r = random.Random(1)
     long = " ".join(r.choice(["alpha", "it's", "x" * 40, "\n", "漢字", "12"]) for _ in range(900))
     rows = [(1, None), (2, ""), (3, "<|endoftext|> a"), (4, long), (4, long), (5, "y" * 5000), (None, "a b"), (6, long + " z")]
     df = spark.createDataFrame([(*x, [1], 7) for x in rows], "doc_id long, text string, ids array<int>, k int")
-    got = sorted(((x.doc_id or 0, list(x.ids)) for x in tokens.encode_corpus(df, chunk=700, overlap=16).collect()))
+    got = sorted(((x.doc_id or 0, list(x.ids)) for x in tokens.encode_corpus(df, chunk=700, overlap=16, spread_chunks=spread).collect()))
     assert got == sorted((i or 0, whole(t or "", data)) for i, t in rows)
     assert tokens.encode_corpus(df.limit(0)).count() == 0
