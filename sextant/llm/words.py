@@ -25,9 +25,19 @@ _ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z]\w*);")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _SOFT_END = re.compile(r"\u00ad(?=[ \t]*[\r\n])")
 _LINE = re.compile(r"^[ \t]*(?:\d+[ \t]*[:|][ \t]?)?(?:[ \t]*(?:///?|//!|--+|#+|\*+|>+|\||%+|;+|[-+•·‣]))*(?=[ \t]|\w|$)", re.M)
-_HYPHEN = re.compile(r"(?<=\w)[-‐‑][ \t]*(?:\r\n?|\n)[ \t]*(?=\w)")
-_JOIN = re.compile(r"(?<=[^\W_])(?:[-‐‑_'’]|\*\*?|__?|~~|`)(?=[^\W_])")
-_WORD = re.compile(r"[^\W_]+")
+_HYPHEN = re.compile(r"[-‐‑][ \t]*(?:\r\n?|\n)[ \t]*")
+_WORD = re.compile(r"[^\W_]+(?:(?:[-‐‑_'’`]|\*\*?|__|~~)[^\W_]+)*")
+_MARKS = re.compile(r"[^\w]|_")
+#: Characters of the first plane that combine with the one before, such as accents.
+_COMBINING = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0xFFFF)) if unicodedata.combining(c)) + "]")
+_LOOKS = re.compile("[" + "".join(LOOK_ALIKES) + "]")
+
+
+def _unbroken(m: re.Match) -> str:
+    """Nothing for a hyphen between two word characters at a line's end, itself otherwise."""
+    t, a, b = m.string, m.start(), m.end()
+    inside = a > 0 and b < len(t) and (t[a - 1].isalnum() or t[a - 1] == "_") and (t[b].isalnum() or t[b] == "_")
+    return "" if inside else m.group(0)
 
 
 def words(text: str | None) -> list[str]:
@@ -40,10 +50,12 @@ def words(text: str | None) -> list[str]:
         text = _ENTITY.sub(lambda m: html.unescape(m.group(0)), text)
     if not text.isascii():
         text = _INVISIBLE.sub("", _SOFT_END.sub("-", text))
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c)).casefold().translate(_FOLD)
+        text = _COMBINING.sub("", unicodedata.normalize("NFKD", text)).casefold()
+        if _LOOKS.search(text):
+            text = text.translate(_FOLD)
     else:
         text = text.lower()
-    text = text.replace("\\n", "\n").replace("\\", "")
-    text = _HYPHEN.sub("", _LINE.sub("", text))
-    return _WORD.findall(_JOIN.sub("", text))
+    if "\\" in text:
+        text = text.replace("\\n", "\n").replace("\\", "")
+    text = _HYPHEN.sub(_unbroken, _LINE.sub("", text))
+    return [w if w.isalnum() else _MARKS.sub("", w) for w in _WORD.findall(text)]
