@@ -12,21 +12,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Signature, documentation and body in one match. ``item`` recurses through brackets and steps over strings and comments, so
+_PLAIN = r"""[^()\[\]{}"'`/\#<\-]"""
+_INSIDE = rf"(?: {_PLAIN}++ | (?&item) )*+"
+#: One element of a body: a bracket without inner ones, a bracket that recurses, a string or comment that is stepped over, any other character.
+_ITEM = rf"""
+    \( {_PLAIN}*+ \) | \[ {_PLAIN}*+ \] | \( {_INSIDE} \)? | \[ {_INSIDE} \]? | \{{ {_INSIDE} \}}?
+  | (?= ["'`A-Za-z] ) (?&string) | (?= [/<\-\#] ) (?: (?&blocked) | (?&lined) ) | [^()\[\]{{}}]
+"""
+#: Signature, documentation and body in one match. The body recurses through brackets and steps over strings and comments, so
 #: that a bracket within them doesn't count. A form left open, as in a body cut short, runs to the end.
-SOURCE = r"""
+SOURCE = rf"""
 (?(DEFINE)
-  (?<triple> \"{3} (?: [^\\"] | \\. | "(?!"") )*+ (?: \"{3} | \\?\Z ) | '{3} (?: [^\\'] | \\. | '(?!'') )*+ (?: '{3} | \\?\Z ) )
+  (?<triple> \"{{3}} (?: [^\\"] | \\. | "(?!"") )*+ (?: \"{{3}} | \\?\Z ) | '{{3}} (?: [^\\'] | \\. | '(?!'') )*+ (?: '{{3}} | \\?\Z ) )
   (?<quoted> " (?: [^"\\\n] | \\. )*+ " | ' (?: [^'\\\n] | \\. )*+ ' | ` (?: [^`\\] | \\. )*+ ` )
-  (?<string> (?: \b[A-Za-z]{1,2} )? (?: (?&triple) | (?&quoted) ) )
+  (?<string> (?: \b[A-Za-z]{{1,2}} )? (?: (?&triple) | (?&quoted) ) )
   (?<blocked> /\* (?: [^*] | \*(?!/) )*+ (?: \*/ | \Z ) | <!-- (?: [^-] | -(?!->) )*+ (?: --> | \Z ) | --\[\[ (?: [^\]] | \](?!\]) )*+ (?: \]\] | \Z ) )
   (?<mark> // | \# | -- )
   (?<lined> (?&mark) [^\n]*+ (?: \n [^\S\n]*+ (?&mark) [^\n]*+ )*+ )
-  (?<item> [^()\[\]{}"'`/\#<\-]++ | (?&string) | (?&blocked) | (?&lined) | \( (?&item)*+ \)? | \[ (?&item)*+ \]? | \{ (?&item)*+ \}? | [^()\[\]{}] )
+  (?<item> {_ITEM} )
 )
 \A (?<signature> [^\n]*+ ) \n
 \s*+ (?<doc> (?&blocked) | (?&lined) | (?&string) (?= [^\S\n]*+ ;? [^\S\n]*+ (?: \n | \Z ) ) )?+
-\s*+ (?<body> (?: (?&item) | [)\]}] )*+ ) \Z
+\s*+ (?<body> (?: {_PLAIN}++ | {_ITEM} | [)\]}}] )*+ ) \Z
 """
 _compiled: dict = {}
 
