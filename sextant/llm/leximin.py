@@ -10,38 +10,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.operators.skew import skew_join
+from sextant.operators.skew import HEAVY_SHARE
+from sextant.session import cut
 
-#: Parts into which the values of one query and score are divided for ranking.
+#: Ranges into which the values of a very large group are divided for ranking.
 RANK_PARTS = 64
 
 
 def percentiles(long: DataFrame, group: list[str], value: str, parts: int = RANK_PARTS) -> DataFrame:
     """``long`` with ``pct``: the share of the group's other rows that are below the value, ties counted half.
 
-    Nulls and NaN are equal to each other and below all values. A group of one row has 1.0.
+    Nulls and NaN are equal to each other and below all values. A group of one row has 1.0. Rows with a null in ``group`` form a group too.
 
-    A group may hold most of all rows: its distinct values are counted with map-side combining, divided at approximate quantiles into
-    ``parts`` ranges (the quantiles only divide the work, the ranks are exact), ranked within each range and shifted by the counts
-    of the ranges below. Values shared by very many rows are joined back in salted parts.
+    A group is ranked in one window. Where groups hold 1 % of all rows or more (at most 100 can), they are divided at approximate quantiles into
+    ``parts`` ranges of values that are ranked apart and shifted by the counts of the ranges below; the quantiles only divide the work, the ranks are
+    exact. A value with 1 % of all rows or more (at most 100) takes part as one weighted row, and its rank is given to its rows afterwards. What is
+    broadcast has at most 100 * ``parts`` rows.
     """
-    v = F.when(~F.isnan(value), F.col(value) + F.lit(0.0))
-    d = long.withColumn("__v", v)
-    sizes = d.groupBy(*group).agg(F.count(F.lit(1)).alias("__size"), F.count("__v").alias("__present"))
-    counts = d.where(F.col("__v").isNotNull()).groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    bounds = counts.groupBy(*group).agg(F.percentile_approx("__v", [i / parts for i in range(1, parts)], 1000).alias("__bounds"))
-    c = skew_join(counts, bounds, group).withColumn("__part", F.size(F.filter("__bounds", lambda b: b < F.col("__v")))).drop("__bounds")
-    within = Window.partitionBy(*group, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("__below", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    shift = c.groupBy(*group, "__part").agg(F.sum("__n").alias("__m"))
-    shift = shift.withColumn("__shift", F.coalesce(F.sum("__m").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__m")
-    c = c.join(shift, [*group, "__part"]).select(*group, "__v", "__n", (F.col("__below") + F.col("__shift")).alias("__below"))
-    j = skew_join(skew_join(d, sizes, group), c, [*group, "__v"], "left")
-    nulls = F.col("__size") - F.col("__present")
-    below = F.when(F.col("__v").isNull(), F.lit(0)).otherwise(nulls + F.col("__below"))
-    ties = F.when(F.col("__v").isNull(), nulls).otherwise(F.col("__n"))
-    pct = F.when(F.col("__size") <= 1, F.lit(1.0)).otherwise((below + (ties - 1) / F.lit(2.0)) / (F.col("__size") - 1))
-    return j.withColumn("pct", pct).drop("__v", "__size", "__present", "__n", "__below")
+    present = F.col(value).isNotNull() & ~F.isnan(value)
+    d = long.withColumn("__ok", present).withColumn("__v", F.when(present, F.col(value) + F.lit(0.0)).otherwise(F.lit(0.0))).withColumn("__w", F.lit(1).cast("long"))
+    sizes = d.groupBy(*group).agg(F.count(F.lit(1)).alias("__size"))
+    big = cut(sizes.where(F.col("__size") >= sizes.agg(F.sum("__size")).scalar() * HEAVY_SHARE))
+    key = [*group, "__ok", "__v"]
+    d = d.withColumn("__hot", F.lit(False)).withColumn("__part", F.lit(0))
+    hot = None
+    if not big.isEmpty():
+        total = sizes.agg(F.sum("__size")).scalar()
+        counts = cut(_null_safe(d, big.select(*group), group, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("__n")))
+        hot = cut(counts.where(F.col("__n") >= F.greatest(F.lit(2), total * HEAVY_SHARE)))
+        bounds = cut(counts.groupBy(*group).agg(F.percentile_approx(F.when(F.col("__ok"), F.col("__v")), [i / parts for i in range(1, parts)], 1000).alias("__bounds")))
+        light = _null_safe(d, hot.select(*key), key, "left_anti")
+        weighted = hot.select(*key, F.col("__n").alias("__w"), F.lit(True).alias("__hot"), F.lit(0).alias("__part"))
+        d2 = light.unionByName(weighted, allowMissingColumns=True)
+        d2 = _null_safe(d2, bounds, group, "left")
+        d2 = d2.withColumn("__part", F.when(F.col("__ok") & F.col("__bounds").isNotNull(), F.size(F.filter("__bounds", lambda b: b < F.col("__v")))).otherwise(0)).drop("__bounds")
+    else:
+        d2 = d
+    at = Window.partitionBy(*group, "__part")
+    r = d2.withColumn("__below", F.sum("__w").over(at.orderBy("__ok", "__v"))).withColumn("__ties", F.sum("__w").over(Window.partitionBy(*group, "__part", "__ok", "__v")))
+    r = r.withColumn("__below", F.col("__below") - F.col("__ties")).withColumn("__all", F.sum("__w").over(at))
+    if hot is not None:
+        big_part = _null_safe(d2, big, group, "inner").groupBy(*group, "__part", "__size").agg(F.sum("__w").alias("__m"))
+        up = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        shift = cut(big_part.select(*group, "__part", "__size", F.coalesce(F.sum("__m").over(up), F.lit(0)).alias("__shift")))
+        r = _null_safe(r, shift, [*group, "__part"], "left").withColumn("__below", F.col("__below") + F.coalesce("__shift", F.lit(0))).withColumn("__all", F.coalesce("__size", "__all")).drop("__shift", "__size")
+        ranks = cut(r.where("__hot").select(*key, "__below", "__ties", "__all"))
+        heavy = _null_safe(d.drop("__hot", "__part", "__w"), ranks, key, "inner")
+        r = r.where(~F.col("__hot")).drop("__hot", "__part", "__w").unionByName(heavy)
+    pct = F.when(F.col("__all") <= 1, F.lit(1.0)).otherwise((F.col("__below") + (F.col("__ties") - 1) / F.lit(2.0)) / (F.col("__all") - 1))
+    return r.withColumn("pct", pct).select(*long.columns, "pct")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on keys in which null equals null, with the left's keys kept."""
+    names = {k: f"__k_{i}" for i, k in enumerate(keys)}
+    renamed = right.withColumnsRenamed(names)
+    on = [left[k].eqNullSafe(F.col(n)) for k, n in names.items()]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return left.join(F.broadcast(renamed), cond, how).drop(*names.values())
 
 
 def leximin_rank(results: DataFrame, query: str, item: str, scores: dict[str, Column], k: int) -> DataFrame:
