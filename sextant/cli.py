@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 
 from sextant import render
 from sextant.engine import Engine
+from sextant.plans.relational import savings_summary
 from sextant.server import Server, Tools
 from sextant.session import local_session
 
@@ -43,6 +45,10 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--limit", type=int, default=20)
         s.add_argument("--kind")
         s.add_argument("--max-tokens", type=int, default=8000)
+    b = sub.add_parser("benchmark")
+    b.add_argument("questions", help="JSON lines with query, words, hint")
+    b.add_argument("output", help="folder for the results as JSON")
+    b.add_argument("--max-tokens", type=int, default=8000)
     sub.add_parser("serve")
     sub.add_parser("status")
     sub.add_parser("logs").add_argument("--all", action="store_true")
@@ -58,6 +64,12 @@ def main(argv: list[str] | None = None) -> int:
         print(render.capsule_text(a.query, found.where("role IN ('seed', 'caller', 'callee')").limit(a.limit), a.max_tokens))
     elif a.verb == "capsule":
         print(render.capsule_text(a.query, engine.capsule(a.query, a.max_tokens), a.max_tokens))
+    elif a.verb == "benchmark":
+        with open(a.questions) as f:
+            asked = [(r["query"], r["words"], r["hint"]) for r in map(json.loads, f)]
+        found = benchmark(engine, asked, a.max_tokens).cache()
+        found.coalesce(1).write.mode("overwrite").json(a.output)
+        print(render.table_text(savings_summary(found)))
     elif a.verb == "status":
         print(render.table_text(engine.status()))
     elif a.verb == "logs":

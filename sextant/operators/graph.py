@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.paths import module_candidates
-from sextant.operators.skew import skew_join
+from sextant.operators.skew import HEAVY_SHARE, skew_join
 from sextant.session import cut
 
 MIN_CONFIDENCE, MAX_FANOUT = 0.75, 40
@@ -32,11 +32,15 @@ def expand_neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 2, confid
     checkpoint folder; the frontier is joined by the optimizer's choice of strategy, so that neither a small nor a large one is forced into a broadcast.
     """
     calls = edges.where(F.col("type") == "CALLS").select("source_id", "target_id", "confidence")
-    outs = calls.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= fanout).select("source_id")
-    ins = calls.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= fanout).select("target_id")
     good = calls.where(F.col("confidence") >= confidence).select("source_id", "target_id").distinct()
-    fwd = good.join(outs, "source_id", "left_semi")
-    back = good.join(ins, "target_id", "left_semi")
+
+    def from_quiet(end: str) -> DataFrame:
+        n = calls.where(F.col(end).isNotNull()).groupBy(end).agg(F.count(F.lit(1)).alias("n"))
+        # hubs with 1 % of all rows or more, at most 100, go before the join, so that it has no crowded key left
+        hubs = n.where((F.col("n") > fanout) & (F.col("n") >= n.agg(F.sum("n")).scalar() * HEAVY_SHARE)).select(end)
+        return good.join(F.broadcast(hubs), end, "left_anti").join(n.where(F.col("n") <= fanout).select(end), end, "left_semi")
+
+    fwd, back = from_quiet("source_id"), from_quiet("target_id")
     seen = cut(seeds.select("id").distinct().select("id", F.lit("seed").alias("role"), F.lit(0).alias("hop")))
     front = seen.select("id")
     for hop in range(1, depth + 1):
@@ -72,9 +76,9 @@ def impact(nodes: DataFrame, edges: DataFrame, fqn: str, depth: int = 5, cross:
             x = cross.select(F.col("source_fqn").alias("fqn"), F.col("source_repo").alias("file_path"), F.col("target_fqn").alias("xt"), F.col("type").alias("edge_type"), F.col("id").alias("edge"))
             x = x.join(front, F.col("xt") == F.col("target_fqn")).join(n.select(F.col("fqn").alias("nf"), F.col("id")), F.col("fqn") == F.col("nf"), "left")
             hits = hits.unionByName(x.select("fqn", "id", "file_path", F.lit("function").alias("kind"), "edge_type", "target_fqn", "edge", F.lit(1).alias("far")))
-        w = Window.partitionBy("fqn").orderBy("far", "edge")
-        new = hits.join(seen.select("fqn"), "fqn", "left_anti").withColumn("r", F.row_number().over(w)).where(F.col("r") == 1)
-        new = cut(new.select("fqn", "id", "file_path", "kind", F.lit(d).alias("depth"), "edge_type", "target_fqn"))
+        # the first discovery is a minimum, combined on the map side: a caller with very many edges loads no single task
+        new = hits.join(seen.select("fqn"), "fqn", "left_anti").groupBy("fqn").agg(F.min(F.struct("far", "edge", "id", "file_path", "kind", "edge_type", "target_fqn")).alias("m"))
+        new = cut(new.select("fqn", "m.id", "m.file_path", "m.kind", F.lit(d).alias("depth"), "m.edge_type", "m.target_fqn"))
         out = new if out is None else out.unionByName(new)
         seen, front = seen.unionByName(new.select("fqn", "id")), new.select(F.col("id").alias("t"), F.col("fqn").alias("target_fqn"))
     if out is None:

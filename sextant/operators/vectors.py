@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -94,6 +95,23 @@ class HashingEncoder:
         return out / np.where(n > 0, n, 1)
 
 
+#: Encoders by name: how to make one, and the length of its vectors.
+ENCODERS: dict[str, tuple[Callable, int]] = {"hashing-64": (HashingEncoder, 64), "hashing-256": (partial(HashingEncoder, 256), 256)}
+
+
+def register_encoder(name: str, make: Callable, size: int) -> None:
+    """Make an encoder known by a name; ``make`` is called once in each worker."""
+    ENCODERS[name] = (make, size)
+
+
+def encoder_available(name: str) -> bool:
+    """Whether an encoder is known and can be made here."""
+    try:
+        return name in ENCODERS and ENCODERS[name][0]() is not None
+    except Exception:  # noqa: BLE001 - a missing model or library is the answer
+        return False
+
+
 def encode_text(make: Callable[[], Callable[[list[str]], np.ndarray]] = HashingEncoder, batch: int = 64):
     """A column function from text to array<float>; the encoder is made once for each worker and called in batches."""
 

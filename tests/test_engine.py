@@ -83,6 +83,23 @@ def test_server(engine):
     assert json.loads(log.getvalue().splitlines()[0])["tool"] == "get_impact_graph"
 
 
+def test_benchmark(engine):
+    from sextant.cli import benchmark
+    from sextant.plans.relational import savings_summary
+
+    rows = benchmark(engine, [("add numbers", ["add_numbers"], "math_ops.py"), ("helper", ["helper"], "no such place")], 300)
+    assert [r.recalled for r in rows.orderBy("query").collect()] == [True, False]
+    assert savings_summary(rows).first().n == 2
+
+
+def test_encoders():
+    from sextant.operators import vectors
+
+    assert vectors.encoder_available("hashing-64") and not vectors.encoder_available("none")
+    vectors.register_encoder("broken", lambda: 1 / 0, 3)
+    assert not vectors.encoder_available("broken")
+
+
 def test_update_equals_full_build(spark, project, tmp_path):
     e = Engine(spark, str(tmp_path / "a"), str(project), encoder=HashingEncoder)
     e.index()
