@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import os
 import re
@@ -39,6 +38,21 @@ def parse_patterns(text: str) -> list[str]:
     return [x for line in text.splitlines() if (x := line.strip()) and not x.startswith("#")]
 
 
+_GLOB = re.compile(r"\*\*|\*|\?|\[[^\]]+\]|.", re.S)
+
+
+def glob_regex(glob: str, run: str, one: str) -> str:
+    """A glob as a regex; ``run`` is what a star may cover, ``one`` what a question mark may."""
+    special = {"**": ".*", "*": run, "?": one}
+
+    def part(t: str) -> str:
+        if t in special:
+            return special[t]
+        return "[^" + t[2:] if t.startswith("[!") else t if len(t) > 1 else re.escape(t)
+
+    return "".join(map(part, _GLOB.findall(glob)))
+
+
 def pattern_regex(pattern: str) -> tuple[str, bool]:
     """(regex over a whole relative path, negated) of an ignore pattern.
 
@@ -46,14 +60,13 @@ def pattern_regex(pattern: str) -> tuple[str, bool]:
     the whole path.
     """
     negated, p = pattern.startswith("!"), pattern.lstrip("!").rstrip("/")
+    within = ("[^/]*", "[^/]")
     if "**" in p:
-        r = re.escape(p).replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-        return rf"(?:{r}|(?:.*/)?{r}(?:/.*)?)", negated
-    glob = fnmatch.translate(p.lstrip("/") if "/" in p else p)
-    body = re.sub(r"^\(\?s:(.*)\)\\[zZ]$", r"\1", glob, flags=re.S)
+        return rf"(?:.*/)?{glob_regex(p, *within)}(?:/.*)?", negated
     if "/" in p:
-        return rf"(?s:{body}|{re.escape(p.lstrip('/'))}/.*)", negated
-    return rf"(?s:{body}|(?:.*/)?(?:{body.replace('.*', '[^/]*')})(?:/.*)?)", negated
+        p = p.lstrip("/")
+        return rf"{glob_regex(p, '.*', '.')}|{re.escape(p)}/.*", negated
+    return rf"{glob_regex(p, '.*', '.')}|(?:.*/)?{glob_regex(p, *within)}(?:/.*)?", negated
 
 
 def ignored(path: str, patterns: list[str]) -> bool:
@@ -61,7 +74,7 @@ def ignored(path: str, patterns: list[str]) -> bool:
     path = path.replace("\\", "/")
     for p in patterns:
         r, negated = pattern_regex(p)
-        if re.fullmatch(r, path):
+        if re.fullmatch(r, path, re.S):
             return not negated
     return False
 
@@ -71,7 +84,6 @@ def ignored_column(path: Column, patterns: list[str]) -> Column:
     out = F.lit(False)
     for p in reversed(patterns):
         r, negated = pattern_regex(p)
-        r = r.replace("(?s:", "(?:")
         out = F.when(path.rlike(f"(?s)^(?:{r})$"), F.lit(not negated)).otherwise(out)
     return out
 
