@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sextant.operators import capsule as cap
 from sextant.operators import coupling, graph, lexical, memory, store, vectors
 from sextant.schemas import SCHEMA_VERSION
-from sextant.session import cut
+from sextant.session import cut, ship
 from sextant.sources import extract, files, git, requests
 
 
@@ -27,6 +27,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, store_path: str, root: str | None = None, encoder=None, repo_alias: str = "primary"):
         self.spark, self.root, self.encoder, self.repo_alias = spark, root, encoder, repo_alias
+        ship(spark)
         self.store = store.Store(spark, store_path)
         self.session_id = str(uuid.uuid4())
         self.sent: set[str] = set()

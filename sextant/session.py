@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +67,22 @@ def spread(df: DataFrame, key: str, bytes_per_core: int = 4 << 20) -> DataFrame:
     n = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(n, key) if size < n * bytes_per_core else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make sure that the Python workers can import this package: where they can't find it, it is sent to them as a zip file. Once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    found = sc.parallelize([package.name], 1).map(importlib.util.find_spec).map(bool).collect()
+    if not all(found):
+        path = os.path.join(tempfile.mkdtemp(prefix="sextant-"), "sextant.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
