@@ -20,7 +20,7 @@ from sextant.session import cut
 #: Pivots in an order, and files in which a vector is posted.
 PREFIX, LISTS = 8, 4
 #: Greatest footrule distance of a candidate; PREFIX * (PREFIX + 1) = 72 is that of orders without a common pivot.
-FOOTRULE = 48
+FOOTRULE = 52
 #: The sketch's cosine may be this much lower than the wanted one. Its error is under 0.01.
 SKETCH_SLACK = 0.03
 #: Pivots: about 4 * sqrt(rows), at least and at most these. They are a bounded sample; every row is indexed.
