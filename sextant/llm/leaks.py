@@ -1,6 +1,7 @@
 """Evaluation texts inside training texts, found with a distributed positional inverted index.
 
-Pass 1 counts in how many documents each word of the items occurs. For every stretch of ``RUN`` words of an item the two
+Pass 1 counts in how many documents each word of the items occurs, as plainly spelled: the counts choose the anchors, and the result
+doesn't depend on the choice. For every stretch of ``RUN`` words of an item the two
 rarest words are its anchors. Pass 2 posts the anchors of all documents with their positions; the lists are adjusted by the
 anchor's offset in the item and intersected: only an alignment of document and item at which both anchors of a stretch
 stand survives. Pass 3 reads the documents of the surviving alignments again and compares word by word.
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.words import words
+from sextant.llm.words import plain_words, words
 
 #: Words of a passage at least; words of an item repeated at least; length from which wording found in two items is shared wording.
 RUN, ENOUGH, SHARED = 8, 20, 13
@@ -112,7 +113,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         n: dict[str, int] = defaultdict(int)
         for b in batches:
             for t in b.column(0).to_pylist():
-                for w in vocabulary.value.intersection(words(t)):
+                for w in vocabulary.value & plain_words(t):
                     n[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
@@ -146,5 +147,6 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 out += [(k, i, n) for i, s in by.items() if (n := c.count(w, i, s)) >= enough]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], (pa.int64(), pa.int64(), pa.int32())[j]) for j in range(3)], names=["doc", "item", "words"])
 
-    found = d.join(cand, "doc").select("doc", "text", "at").mapInArrow(check, "doc long, item long, words int")
+    # the texts are the large side; hashing the candidates spares sorting them
+    found = d.join(cand.hint("shuffle_hash"), "doc").select("doc", "text", "at").mapInArrow(check, "doc long, item long, words int")
     return found.groupBy(F.col("doc").alias(id_col), F.col("item").alias(item_col)).agg(F.max("words").alias("words"))

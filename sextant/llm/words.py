@@ -59,3 +59,8 @@ def words(text: str | None) -> list[str]:
         text = text.replace("\\n", "\n").replace("\\", "")
     text = _HYPHEN.sub(_unbroken, _LINE.sub("", text))
     return [w if w.isalnum() else _MARKS.sub("", w) for w in _WORD.findall(text)]
+
+
+def plain_words(text: str | None) -> set[str]:
+    """The distinct words of a text as it is spelled, with none of the reading of other forms: a fraction of the cost of ``words``, for statistics that only guide a search."""
+    return {w if w.isalnum() else _MARKS.sub("", w) for w in _WORD.findall(text.lower())} if text else set()
