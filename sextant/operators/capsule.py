@@ -101,7 +101,7 @@ def capsule(ix: Index, query: str, max_tokens: int = 8000, depth: int = 2, exclu
     order = F.array_position(F.array(*map(F.lit, ("seed", "callee", "caller", "co_change", "importer"))), F.col("role"))
     best = rank.best_by(parts.withColumn("role_order", order), "fqn", "score", "role_order").drop("role_order")
     best = best.join(ix.nodes.select("fqn", "is_test", "is_exported"), "fqn", "left")
-    best = best.withColumn("score", rank.penalised(best, query)).drop("is_test", "is_exported")
+    best = best.withColumn("score", F.round(rank.penalised(best, query), 9)).drop("is_test", "is_exported")
     return rank.pack(best, max_tokens, "token_estimate", F.col("score").desc(), F.col("fqn"))
 
 

@@ -59,7 +59,9 @@ def bm25_search(docs: DataFrame, query: str, fields: dict[str, float] | None = N
     s = h.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col("h")[i] > 0).alias(f"n{i}") for i in range(len(ps))]).alias("s")).scalar()
     idf = lambda i: F.greatest(F.log((s["n"] - s[f"n{i}"] + 0.5) / (s[f"n{i}"] + 0.5)), F.lit(1e-6))
     part = lambda i: idf(i) * F.col("h")[i] * (K1 + 1) / (F.col("h")[i] + K1 * (1 - B + B * F.col("len") / s["avg"]))
-    out = h.where(F.exists("h", lambda x: x > 0)).select("id", sum((F.when(F.col("h")[i] > 0, part(i)).otherwise(0.0) for i in range(len(ps))), F.lit(0.0)).alias("score"))
+    # rounded, so that equal scores tie whatever the order in which they were added up
+    score = F.round(sum((F.when(F.col("h")[i] > 0, part(i)).otherwise(0.0) for i in range(len(ps))), F.lit(0.0)), 9)
+    out = h.where(F.exists("h", lambda x: x > 0)).select("id", score.alias("score"))
     return out if limit is None else out.orderBy(F.col("score").desc(), "id").limit(limit)
 
 

@@ -37,7 +37,7 @@ def graph_prior(candidates: DataFrame, nodes: DataFrame, edges: DataFrame, coupl
     if lineage is not None:
         d = d.join(lineage.select("file_path", F.col("churn_score").alias("churn")), "file_path", "left")
     part = lambda name: F.coalesce(F.col(name), F.lit(0.0)) if name in d.columns else F.lit(0.0)
-    return d.select("id", (DEGREE * F.col("deg") + COUPLING * part("couple") + CHURN * part("churn")).alias("score"))
+    return d.select("id", F.round(DEGREE * F.col("deg") + COUPLING * part("couple") + CHURN * part("churn"), 9).alias("score"))
 
 
 #: Labels of a result's reason by score, the first bound exceeded counts.
@@ -65,7 +65,7 @@ def fuse(lexical: DataFrame, semantic: DataFrame, graph: DataFrame) -> DataFrame
     """id, bm25, semantic, graph, score: candidates of the lexical side with their other scores, missing ones 0, lexical scores divided by their maximum."""
     j = normalised(lexical.select("id", F.col("score").alias("bm25")), "bm25")
     j = j.join(semantic.select("id", F.col("score").alias("semantic")), "id", "left").join(graph.select("id", F.col("score").alias("graph")), "id", "left").na.fill(0.0, ["semantic", "graph"])
-    return j.withColumn("score", LEXICAL * F.col("bm25") + SEMANTIC * F.col("semantic") + GRAPH * F.col("graph"))
+    return j.withColumn("score", F.round(LEXICAL * F.col("bm25") + SEMANTIC * F.col("semantic") + GRAPH * F.col("graph"), 9))
 
 
 def hydrate(fused: DataFrame, nodes: DataFrame, limit: int, kind: str | None = None) -> DataFrame:

@@ -316,7 +316,7 @@ def x16(s, d):
 CAPSULE = f"""WITH {HYBRID.replace(':candidates', '75')}, seeds AS (SELECT id, round(total, 4) AS score FROM hyb WHERE r <= 15),
 seedf AS (SELECT DISTINCT file_path FROM nodes WHERE id IN (SELECT id FROM seeds)), {expansion_sql("SELECT id FROM seeds")},
 ndeg AS (SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) WHERE id IN (SELECT id FROM near) GROUP BY 1),
-np AS (SELECT x.id, x.role, 0.6 * coalesce(ndeg.n, 0) / (SELECT coalesce(max(n), 1) FROM ndeg)::DOUBLE + 0.25 * coalesce(cf.c, 0) + 0.15 * coalesce(l.churn_score, 0) AS score FROM near x JOIN nodes n ON n.id = x.id LEFT JOIN ndeg ON ndeg.id = x.id LEFT JOIN cf ON cf.f = n.file_path LEFT JOIN lineage l ON l.file_path = n.file_path),
+np AS (SELECT x.id, x.role, round(0.6 * coalesce(ndeg.n, 0) / (SELECT coalesce(max(n), 1) FROM ndeg)::DOUBLE + 0.25 * coalesce(cf.c, 0) + 0.15 * coalesce(l.churn_score, 0), 9) AS score FROM near x JOIN nodes n ON n.id = x.id LEFT JOIN ndeg ON ndeg.id = x.id LEFT JOIN cf ON cf.f = n.file_path LEFT JOIN lineage l ON l.file_path = n.file_path),
 e0 AS (SELECT n.*, s.score, 'seed' AS role, 1 AS o, substring(coalesce(docstring, ''), 1, 256) AS doc FROM seeds s JOIN nodes n USING (id)
   UNION ALL BY NAME SELECT n.*, p.score, p.role, CASE p.role WHEN 'callee' THEN 2 ELSE 3 END AS o, coalesce(docstring, '') AS doc FROM np p JOIN nodes n USING (id)),
 tk AS (SELECT *, least(1024, greatest(1, length(trim(regexp_replace(kind || ' ' || fqn || chr(10) || coalesce(signature, '') || chr(10) || doc, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) // 4)) AS tok FROM e0),
@@ -325,7 +325,7 @@ allx AS (SELECT fqn, score, role, o, tok, is_test, is_exported FROM tk
   UNION ALL SELECT fqn, s, 'co_change', 4, least(1024, greatest(1, length(trim(regexp_replace(kind || ' ' || fqn || chr(10) || coalesce(signature, '') || chr(10) || coalesce(docstring, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) // 4)), is_test, is_exported FROM cou WHERE used <= greatest(0, 8000 - (SELECT sum(tok) FROM tk))
   UNION ALL SELECT fqn, 0.3, 'importer', 5, least(1024, greatest(1, length(trim(regexp_replace(kind || ' ' || fqn || chr(10) || coalesce(signature, '') || chr(10) || coalesce(docstring, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) // 4)), is_test, is_exported FROM imp),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fqn ORDER BY score DESC, o) AS r1 FROM allx) WHERE r1 = 1),
-pen AS (SELECT *, CASE WHEN coalesce(is_test, false) THEN score * 0.3 WHEN NOT coalesce(is_exported, true) THEN score * 0.85 ELSE score END AS final FROM best),
+pen AS (SELECT *, round(CASE WHEN coalesce(is_test, false) THEN score * 0.3 WHEN NOT coalesce(is_exported, true) THEN score * 0.85 ELSE score END, 9) AS final FROM best),
 packed AS (SELECT *, sum(tok) OVER (ORDER BY final DESC, fqn ROWS UNBOUNDED PRECEDING) AS used FROM pen)
 SELECT fqn, role, tok::INT AS token_estimate, used::BIGINT AS used, round(final, 4) AS score FROM packed WHERE used <= 8000"""
 

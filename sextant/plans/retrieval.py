@@ -183,10 +183,10 @@ def r01(s, d):
 FUSED = """
 deg AS (SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) WHERE id IN (SELECT id FROM top) GROUP BY 1),
 cf AS (SELECT f, max(c) AS c FROM (SELECT file_a AS f, coupling_score AS c FROM coupling UNION ALL SELECT file_b, coupling_score FROM coupling) GROUP BY 1),
-prior AS (SELECT t.id, 0.6 * coalesce(deg.n, 0) / (SELECT coalesce(max(n), 1) FROM deg)::DOUBLE + 0.25 * coalesce(cf.c, 0) + 0.15 * coalesce(l.churn_score, 0) AS g
+prior AS (SELECT t.id, round(0.6 * coalesce(deg.n, 0) / (SELECT coalesce(max(n), 1) FROM deg)::DOUBLE + 0.25 * coalesce(cf.c, 0) + 0.15 * coalesce(l.churn_score, 0), 9) AS g
   FROM top t JOIN nodes n ON n.id = t.id LEFT JOIN deg ON deg.id = t.id LEFT JOIN cf ON cf.f = n.file_path LEFT JOIN lineage l ON l.file_path = n.file_path),
 fused AS (SELECT t.id, t.score / (SELECT max(score) FROM top) AS b, coalesce(c.score, 0) AS s, p.g FROM top t JOIN prior p ON p.id = t.id LEFT JOIN cosines c ON c.id = t.id),
-scored AS (SELECT *, 0.45 * b + 0.40 * s + 0.15 * g AS total FROM fused)
+scored AS (SELECT *, round(0.45 * b + 0.40 * s + 0.15 * g, 9) AS total FROM fused)
 """
 
 

@@ -86,7 +86,7 @@ def bm25_sql(source: str, id_col: str, fields: dict[str, float], phrase_list: li
 {name}_t AS (SELECT {id_col} AS id, {toks} FROM {source}),
 {name}_h AS (SELECT id, ({length})::DOUBLE AS len, {hs} FROM {name}_t),
 {name}_s AS (SELECT count(*) AS n, avg(len) AS avg, {ns} FROM {name}_h),
-{name} AS (SELECT id, {score} AS score FROM {name}_h, {name}_s WHERE {any_hit} > 0)
+{name} AS (SELECT id, round({score}, 9) AS score FROM {name}_h, {name}_s WHERE {any_hit} > 0)
 """
 
 
