@@ -3,6 +3,9 @@
 Every vector is represented by the order of its nearest pivots. It is posted in the inverted files of its first
 pivots. Vectors in the same file are compared by the footrule distance of their orders; those near enough are
 reranked, first by a small integer sketch that travels with the posting, then by the exact cosine.
+
+Without a least cosine, every vector keeps the nearest of all that share a file with it. The number of files is
+widened until a sample's true neighbours, found by brute force, are reached.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ SKETCH_SLACK = 0.03
 MIN_PIVOTS, MAX_PIVOTS = 64, 16384
 #: A file with more postings than this is divided into blocks, and every two blocks are compared as a task of their own.
 BLOCK = 4096
+#: Without a least cosine: longest order, sampled vectors of each length, and the share of their true neighbours that must share a file with them.
+LONG, SAMPLE, REACHED = 32, 256, 0.93
+#: Cosines in float32 may be this much off; within it candidates are compared by float64.
+SINGLE = 1e-6
 
 
 def pivot_count(rows: int) -> int:
@@ -82,6 +89,20 @@ def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return n * (n + 1) - 2 * same.astype(np.int16)
 
 
+def _by_length(vec: pa.Array):
+    """(rows, length, vectors, greatest absolute values) of each length of vector in an array of lists; null, all-zero and not finite ones are left out."""
+    lengths = vec.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    for d in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == d)
+        m = flat[(starts[at][:, None] + np.arange(d)[None, :])]
+        top = np.abs(m).max(axis=1)
+        ok = np.isfinite(top) & (top > 0)
+        if ok.any():
+            yield at[ok], int(d), m[ok], top[ok]
+
+
 def _index_rows(pivots: dict[int, np.ndarray]):
     schema = pa.schema([("id", pa.int64()), ("at", pa.timestamp("us", "UTC")), ("h", pa.int64()), ("dim", pa.int32()), ("perm", pa.binary()), ("sketch", pa.binary())])
 
@@ -90,20 +111,11 @@ def _index_rows(pivots: dict[int, np.ndarray]):
             vec, size = b.column(3), len(b)
             lengths = vec.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             perm, sketch = [None] * size, [None] * size
-            flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-            starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-            for d in np.unique(lengths[lengths > 0]):
-                at = np.flatnonzero(lengths == d)
-                m = flat[(starts[at][:, None] + np.arange(d)[None, :])]
-                top = np.abs(m).max(axis=1)
-                ok = np.isfinite(top) & (top > 0)
-                at, m, top = at[ok], m[ok], top[ok]
-                if not len(at):
-                    continue
+            for at, d, m, top in _by_length(vec):
                 m = m / top[:, None]
                 q = np.rint(m * 127).astype(np.int8)
                 m = m / np.linalg.norm(m, axis=1, keepdims=True)
-                o = orders(m, _with_axes(pivots, int(d)), PREFIX)
+                o = orders(m, _with_axes(pivots, d), PREFIX)
                 for r, x, y in zip(at, o, q):
                     perm[r], sketch[r] = x.tobytes(), y.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(schema.field(1).type), b.column(2), pa.array(lengths, pa.int32()), pa.array(perm, pa.binary()), pa.array(sketch, pa.binary())], schema=schema)
@@ -185,8 +197,137 @@ def similar_links(raw: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
     return pairs.join(a, "rep_a").join(b, "rep_b").select("rep_a", "rep_b", (dot / (F.col("na") * F.col("nb"))).alias("cosine")).where(F.col("cosine") >= floor)
 
 
-def nearest_neighbours(vectors: DataFrame, id_col: str = "node_id", vec_col: str = "vector", newer: str = "updated_at", k: int = 5, floor: float = 0.9) -> DataFrame:
-    """node, neighbour, cosine, rank: of every node its ``k`` most similar nodes, as far as their cosine is at least ``floor``.
+def _file_rows(pivots: dict[int, np.ndarray]):
+    schema = pa.schema([("id", pa.int64()), ("at", pa.timestamp("us", "UTC")), ("h", pa.int64()), ("dim", pa.int32()), ("files", pa.list_(pa.int32())), ("vec", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            files, vec = [None] * len(b), [None] * len(b)
+            for at, d, m, top in _by_length(b.column(3)):
+                u = m / top[:, None]
+                o = orders(u / np.linalg.norm(u, axis=1, keepdims=True), _with_axes(pivots, d), LONG)
+                for r, x, y in zip(at, o, m):
+                    files[r], vec[r] = x[x < 65535], y.tobytes()
+            lengths = b.column(3).value_lengths().fill_null(0).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(schema.field(1).type), b.column(2), lengths, pa.array(files, pa.list_(pa.int32())), pa.array(vec, pa.binary())], schema=schema)
+
+    return run
+
+
+def newest_files(vectors: DataFrame, id_col: str, vec_col: str, newer: str) -> DataFrame:
+    """id, h, dim, files, vec: of each id the whole order (at most ``LONG``) and the vector of the row with the greatest ``at``, written once; left out as in ``newest_orders``."""
+    raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(newer).cast("timestamp").alias("at"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull())
+    pivots = choose_pivots(raw, "id", "v", raw.select("id").count())
+    indexed = raw.select("id", "at", F.xxhash64("v").alias("h"), "v").mapInArrow(_file_rows(pivots), "id long, at timestamp, h long, dim int, files array<int>, vec binary")
+    newest = indexed.groupBy("id").agg(F.max(F.struct("at", "h", "dim", "files", "vec")).alias("s")).select("id", "s.*")
+    return cut(newest.where(F.col("vec").isNotNull()).drop("at"))
+
+
+def _units(vec: pa.ChunkedArray, dim: int) -> np.ndarray:
+    m = np.frombuffer(b"".join(vec.to_pylist()), dtype=np.float32).reshape(len(vec), dim).astype(np.float64)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def top_k(u: np.ndarray, ids: np.ndarray, v: np.ndarray, to: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of u, row of v, cosine): of each unit row of u the ``k`` of v with the greatest cosine (9 places), ties to the smaller id, its own id left out."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    v32 = v.astype(np.float32)
+    for s in range(0, len(u), 128):
+        a = u[s : s + 128]
+        sim = a.astype(np.float32) @ v32.T
+        sim[ids[s : s + 128, None] == to[None, :]] = -2
+        kth = np.partition(sim, -k, axis=1)[:, -k] if k < sim.shape[1] else np.full(len(a), -1.5)
+        x, y = np.nonzero(sim >= np.maximum(kth - SINGLE, -1.5)[:, None])
+        cos = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", a[x[i : i + 65536]], v[y[i : i + 65536]]) for i in range(0, len(x), 65536))]).round(9)
+        o = np.lexsort((to[y], -cos, x))
+        x, y, cos = x[o], y[o], cos[o]
+        keep = np.arange(len(x)) - np.searchsorted(x, x) < k
+        out.append((x[keep] + s, y[keep], cos[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _first_shared(a: list[int], b: list[int]) -> int:
+    """In how many files both must be posted to meet; LONG + 1 if they never do."""
+    at = {f: i for i, f in enumerate(b)}
+    return min((max(i, at[f]) + 1 for i, f in enumerate(a) if f in at), default=LONG + 1)
+
+
+def wanted_lists(reps: DataFrame, k: int) -> dict[int, int]:
+    """For each length of vector the number of files in which ``REACHED`` of the true ``k`` nearest of a sample share one with it; 0 if no number does.
+
+    About ``SAMPLE`` vectors of each length are sent to all tasks and compared with every vector.
+    """
+    sizes = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().collect()}
+    if not sizes:
+        return {}
+    spark = reps.sparkSession
+    share = spark.createDataFrame([(d, min(1.0, SAMPLE / n)) for d, n in sizes.items()], "dim int, share double")
+    picked = reps.join(F.broadcast(share), "dim").where(F.xxhash64("rep", F.lit("sample")).cast("double") <= (F.col("share") - 0.5) * 2.0**64).select("dim", "rep", "files", "vec").collect()
+    sample: dict[int, list] = {}
+    for r in picked:
+        sample.setdefault(r.dim, []).append(r)
+    units = {d: (np.array([r.rep for r in rs], np.int64), _units(pa.array([bytes(r.vec) for r in rs], pa.binary()), d)) for d, rs in sample.items()}
+    schema = pa.schema([("dim", pa.int32()), ("rep", pa.int64()), ("cosine", pa.float64()), ("to", pa.int64()), ("files", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for b in batches:
+            dims = b.column(0).to_numpy()
+            for d in np.unique(dims):
+                if int(d) not in units:
+                    continue
+                t = b.filter(pa.array(dims == d))
+                ids, u = units[int(d)]
+                x, y, cos = top_k(u, ids, _units(t.column(3), int(d)), t.column(1).to_numpy(), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), d), pa.int32()), pa.array(ids[x]), pa.array(cos), t.column(1).take(pa.array(y)), t.column(2).take(pa.array(y)).cast(schema.field(4).type)], schema=schema)
+
+    true = reps.select("dim", "rep", "files", "vec").mapInArrow(run, "dim int, rep long, cosine double, to long, files array<int>")
+    true = true.withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy(F.col("cosine").desc(), "to"))).where(F.col("__r") <= k).collect()
+    own = {r.rep: r.files for r in picked}
+    depths: dict[int, list[int]] = {}
+    for r in true:
+        depths.setdefault(r.dim, []).append(_first_shared(own[r.rep], r.files))
+    # a length of which nothing was sampled is compared whole
+    out = {d: 0 for d in sizes}
+    for d, f in depths.items():
+        need = int(np.sort(f)[math.ceil(REACHED * len(f)) - 1])
+        out[d] = need if need <= LONG else 0
+    return out
+
+
+def _nearest_here(k: int):
+    out = pa.schema([("rep", pa.int64()), ("to", pa.int64()), ("cosine", pa.float64())])
+
+    def run(key, t):
+        b1, b2 = key[2].as_py(), key[3].as_py()
+        rep, block, u = t.column("rep").to_numpy(), t.column("block").to_numpy(), _units(t.column("vec"), key[0].as_py())
+        left, right = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
+        parts = []
+        for a, b in [(left, right)] if b1 == b2 else [(left, right), (right, left)]:
+            if len(a) and len(b):
+                x, y, cos = top_k(u[a], rep[a], u[b], rep[b], k)
+                parts.append(pa.Table.from_arrays([pa.array(rep[a][x]), pa.array(rep[b][y]), pa.array(cos)], schema=out))
+        return pa.concat_tables(parts) if parts else out.empty_table()
+
+    return run
+
+
+def nearest_links(reps: DataFrame, k: int) -> DataFrame:
+    """rep, to, cosine: of each representative the ``k`` nearest of those with which it shares one of its first files, as many as ``wanted_lists`` says."""
+    lists = wanted_lists(reps, k)
+    n = reps.sparkSession.createDataFrame(list(lists.items()), "dim int, lists int")
+    p = reps.join(F.broadcast(n), "dim").select("dim", "rep", "vec", F.explode(F.when(F.col("lists") == 0, F.array(F.lit(0))).otherwise(F.slice("files", 1, F.greatest("lists", F.lit(1))))).alias("file"))
+    sizes = p.groupBy("dim", "file").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    p = p.join(F.broadcast(sizes), ["dim", "file"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    p = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    p = p.select("dim", "file", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "vec")
+    met = p.groupBy("dim", "file", "b1", "b2").applyInArrow(_nearest_here(k), "rep long, to long, cosine double")
+    # two that meet in several files come out of each of them
+    once = met.repartition("rep").dropDuplicates(["rep", "to"])
+    return once.withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy(F.col("cosine").desc(), "to"))).where(F.col("__r") <= k).drop("__r")
+
+
+def nearest_neighbours(vectors: DataFrame, id_col: str = "node_id", vec_col: str = "vector", newer: str = "updated_at", k: int = 5, floor: float | None = 0.9) -> DataFrame:
+    """node, neighbour, cosine, rank: of every node its ``k`` most similar nodes, as far as their cosine is at least ``floor``; with None whatever it is.
 
     Of each node only the row with the greatest ``newer`` counts (ties: the greater vector hash, repeated rows count once). Vectors of
     different lengths are not compared; null, all-zero and not finite vectors and null ids have no neighbours. Ties of the cosine go
@@ -196,11 +337,17 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "node_id", vec_col: str
     cosine 1; a group of copies with a third of all rows therefore costs no more than its size. The index is approximate (recall is measured
     in the tests), the cosines are exact.
     """
-    raw, latest = newest_orders(vectors, id_col, vec_col, newer)
-    groups = cut(latest.groupBy("h", "dim").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("perm").alias("perm"), F.max("sketch").alias("sketch")))
-    links = cut(similar_links(raw, groups.select("dim", "rep", "perm", "sketch"), floor))
+    if floor is None:
+        latest = newest_files(vectors, id_col, vec_col, newer)
+        groups = cut(latest.groupBy("h", "dim").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("files").alias("files"), F.max("vec").alias("vec")))
+        near = cut(nearest_links(groups.select("dim", "rep", "files", "vec"), k))
+    else:
+        raw, latest = newest_orders(vectors, id_col, vec_col, newer)
+        groups = cut(latest.groupBy("h", "dim").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("perm").alias("perm"), F.max("sketch").alias("sketch")))
+        links = cut(similar_links(raw, groups.select("dim", "rep", "perm", "sketch"), floor))
+        near = links.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("to"), "cosine").unionByName(links.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("to"), "cosine"))
     several = groups.where(F.col("n") > 1)
-    near = links.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("to"), "cosine").unionByName(links.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("to"), "cosine")).unionByName(several.select("rep", F.col("rep").alias("to"), F.lit(1.0).alias("cosine")))
+    near = near.unionByName(several.select("rep", F.col("rep").alias("to"), F.lit(1.0).alias("cosine")))
     copies = skew_join(latest.select("id", "h", "dim"), several.select("h", "dim", "rep"), ["h", "dim"]).select("rep", "id")
     single = groups.where(F.col("n") == 1).select("rep", F.col("rep").alias("id"))
     members = cut(copies).unionByName(single)

@@ -25,6 +25,11 @@ def p4_neighbours(spark, d):
     return permutation.nearest_neighbours(table(spark, d, "node_embeddings_dense")).withColumn("cosine", F.round("cosine", 6))
 
 
+def p4_nearest(spark, d):
+    """Of every vector its five most similar, however low their cosine. Without SQL: the index is approximate where no cosine is wanted."""
+    return permutation.nearest_neighbours(table(spark, d, "node_embeddings_dense"), floor=None).withColumn("cosine", F.round("cosine", 6))
+
+
 def p6_found(spark, d):
     return pairs.function_pairs(table(spark, d, "nodes")).select("node_id")
 
@@ -53,7 +58,7 @@ def p10_found(spark, d):
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p4_neighbours, p6_found, p6_pairs, p7_found, p7_weights, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p4_neighbours, p4_nearest, p6_found, p6_pairs, p7_found, p7_weights, p8_ids, p9_found, p10_found)}
 
 LEXIMIN = """
 items AS (SELECT query_id, node_id, max(score_breakdown.bm25) AS a, max(score_breakdown.semantic) AS b, max(score_breakdown.graph) AS c

@@ -51,6 +51,45 @@ def test_recall(spark, clustered):
     assert len(got - want) <= 0.02 * len(want)
 
 
+def nearest(got):
+    by = {}
+    for x in sorted(got, key=lambda x: x.rank):
+        by.setdefault(x.node, []).append(x.neighbour)
+    return by
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_every_vector_has_its_nearest_without_a_floor(spark, clustered, monkeypatch, block):
+    monkeypatch.setattr(pm, "BLOCK", block)
+    got = nearest(pm.nearest_neighbours(frame(spark, [(i, v, 0) for i, v in clustered.items()]), floor=None).collect())
+    assert set(got) == set(clustered) and all(len(x) == 5 for x in got.values())
+    hits = 0
+    for i, v in clustered.items():
+        sims = sorted((-float(v @ w) / float(np.linalg.norm(v) * np.linalg.norm(w)), j) for j, w in clustered.items() if j != i and len(w) == len(v))
+        hits += len({j for _, j in sims[:5]} & set(got[i]))
+    assert hits >= 0.9 * 5 * len(clustered)
+
+
+def test_without_a_shared_file_all_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(pm, "_first_shared", lambda a, b: pm.LONG + 1)
+    r = np.random.default_rng(5)
+    vectors = {i: r.normal(size=64).astype(np.float32) for i in range(90)}
+    got = nearest(pm.nearest_neighbours(frame(spark, [(i, v, 0) for i, v in vectors.items()]), floor=None).collect())
+    for i, v in vectors.items():
+        sims = sorted((-float(v @ w) / float(np.linalg.norm(v) * np.linalg.norm(w)), j) for j, w in vectors.items() if j != i)
+        assert got[i] == [j for _, j in sims[:5]]
+
+
+def test_copies_and_dirty_vectors_without_a_floor(spark):
+    r = np.random.default_rng(1)
+    a, b = r.normal(size=64), r.normal(size=64)
+    rows = [(i, a, 0) for i in range(40)] + [(100, b, 0), (101, b, 0), (102, -b, 0), (103, None, 1), (103, a, 0), (104, np.zeros(64), 0), (105, a[:48], 0), (106, a * 3, 0), (None, a, 0)]
+    got = nearest(pm.nearest_neighbours(frame(spark, rows), floor=None).collect())
+    assert got[20] == [0, 1, 2, 3, 4] and got[2] == [0, 1, 3, 4, 5] and got[106] == [0, 1, 2, 3, 4]
+    assert got[100][0] == 101 and len(got[102]) == 5 and not {103, 104, 105} & set(got)
+    assert pm.nearest_neighbours(spark.createDataFrame([], SCHEMA), floor=None).count() == 0
+
+
 def test_long_files_are_divided(spark, clustered, monkeypatch):
     monkeypatch.setattr(pm, "BLOCK", 16)
     got = {tuple(r) for r in pm.neighbour_pairs(frame(spark, [(i, v, 0) for i, v in clustered.items()])).collect()}
