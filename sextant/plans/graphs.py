@@ -102,12 +102,22 @@ p AS (SELECT a AS cur, [a] AS ids, [n.fqn] AS path FROM ends JOIN nodes n ON n.i
 SELECT row_number() OVER (ORDER BY len(path), path)::INT AS path_no, path FROM p WHERE cur = (SELECT b FROM ends) ORDER BY len(path), path LIMIT 3"""
 
 
-@q("G06_paths", PATHS)
-def g06(s, d):
+def _ends(s, d):
     n, e = table(s, d, "nodes"), table(s, d, "edges").where(F.col("type") == "CALLS")
     a = n.join(e.select(F.col("source_id").alias("id")), "id", "left_semi").orderBy("id").select("fqn").first()
     b = e.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("c")).join(n.select("id", "fqn"), "id").orderBy(F.col("c").desc(), "id").first()
-    return graph.call_paths(n, table(s, d, "edges"), a.fqn, b.fqn, 3, 4)
+    return a.fqn, b.fqn
+
+
+@q("G06_paths", PATHS)
+def g06(s, d):
+    return graph.call_paths(table(s, d, "nodes"), table(s, d, "edges"), *_ends(s, d), 3, 4)
+
+
+@q("G06_paths_whole")
+def g06_whole(s, d):
+    """Paths of up to ten nodes. Without SQL: the recursion lists all paths before it takes the first."""
+    return graph.call_paths(table(s, d, "nodes"), table(s, d, "edges"), *_ends(s, d))
 
 
 RESOLVED = f"""WITH {views.LSP_SQL}, refs AS (SELECT source_fqn, target_fqn AS target, edge_type AS type FROM lsp UNION ALL SELECT source_fqn, string_split(string_split(target_fqn, '::')[-1], '.')[-1], edge_type FROM lsp),

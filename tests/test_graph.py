@@ -7,6 +7,7 @@ from collections import defaultdict, deque
 import pytest
 
 from sextant.operators import coupling, graph
+from sextant.plans import graphs
 
 EDGES = "id long, source_id long, target_id long, type string, call_site_line int, confidence double"
 
@@ -56,6 +57,32 @@ def test_paths(spark, seed):
     assert graph.call_paths(ndf, edges, "a.py::f00", "none", 4, 6).count() == 0
 
 
+def test_the_registered_paths_go_up_to_ten_nodes(spark, tmp_path):
+    # the end, 30, has the most callers; 0 reaches it over 1..8 (ten nodes), over 10..14 (seven) and over 20..28 (eleven)
+    ways = [[0, *range(1, 9), 30], [0, *range(10, 15), 30], [0, *range(20, 29), 29, 30]]
+    pairs = [p for w in ways for p in itertools.pairwise(w)] + [(12, 4), (5, 11)]
+    rows = [(i, a, b, "CALLS", i, 1.0) for i, (a, b) in enumerate(pairs)]
+    nodes = [(i, f"f{i}", f"a.py::f{i:02d}", "a.py", "function") for i in range(31)]
+    spark.createDataFrame(rows, EDGES).write.parquet(str(tmp_path / "edges.parquet"))
+    spark.createDataFrame(nodes, "id long, name string, fqn string, file_path string, kind string").write.parquet(str(tmp_path / "nodes.parquet"))
+    out, found = defaultdict(set), []
+    for a, b in pairs:
+        out[a].add(b)
+
+    def walk(path):
+        if path[-1] == 30:
+            found.append([nodes[i][2] for i in path])
+        elif len(path) < 10:
+            for y in out[path[-1]] - set(path):
+                walk([*path, y])
+
+    walk([0])
+    want = sorted(found, key=lambda p: (len(p), p))[:3]
+    assert [len(p) for p in want] == [7, 10, 10]
+    got = graphs.g06_whole(spark, str(tmp_path)).orderBy("path_no").collect()
+    assert [r.path for r in got] == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_expansion(spark, seed):
     rows, edges, _, _ = make(spark, seed)
