@@ -52,15 +52,17 @@ def g02(s, d):
 
 ROOT = "(SELECT n.id FROM edges e JOIN nodes n ON n.id = e.target_id GROUP BY n.id ORDER BY count(*), n.id LIMIT 1)"
 
+CROWDED = "(SELECT n.id FROM edges e JOIN nodes n ON n.id = e.target_id GROUP BY n.id ORDER BY count(*) DESC, n.id LIMIT 1)"
 
-def _root(s, d):
+
+def _root(s, d, crowded=False):
     n = table(s, d, "nodes").select("id", "fqn")
     e = table(s, d, "edges").groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return n.join(e, "id").orderBy("n", "id").first().fqn
+    return n.join(e, "id").orderBy(F.col("n").desc() if crowded else "n", "id").first().fqn
 
 
-def impact_sql(depth: int, cross: bool) -> str:
-    out = [f"lv0 AS (SELECT id, fqn FROM nodes WHERE id = {ROOT})"]
+def impact_sql(depth: int, cross: bool, root: str = ROOT) -> str:
+    out = [f"lv0 AS (SELECT id, fqn FROM nodes WHERE id = {root})"]
     for h in range(1, depth + 1):
         before = " UNION ".join(f"SELECT fqn FROM lv{k}" for k in range(h))
         far = f" UNION ALL SELECT c.source_fqn, n.id, c.source_repo, 'function', c.type, p.fqn, c.id, 1 FROM cross_repo_edges c JOIN lv{h - 1} p ON c.target_fqn = p.fqn LEFT JOIN nodes n ON n.fqn = c.source_fqn" if cross else ""
@@ -80,8 +82,19 @@ def g04(s, d):
     return graph.impact(table(s, d, "nodes"), table(s, d, "edges"), _root(s, d), 2, table(s, d, "cross_repo_edges"))
 
 
-def reach_sql(hops: int) -> str:
-    out = [f"h0 AS (SELECT {ROOT} AS id)"]
+@q("G03_impact_whole", impact_sql(5, False, CROWDED))
+def g03_whole(s, d):
+    """Five levels, from the node with the most edges to it."""
+    return graph.impact(table(s, d, "nodes"), table(s, d, "edges"), _root(s, d, True))
+
+
+@q("G04_impact_cross_repo_whole", impact_sql(5, True, CROWDED))
+def g04_whole(s, d):
+    return graph.impact(table(s, d, "nodes"), table(s, d, "edges"), _root(s, d, True), cross=table(s, d, "cross_repo_edges"))
+
+
+def reach_sql(hops: int, root: str = ROOT) -> str:
+    out = [f"h0 AS (SELECT {root} AS id)"]
     for h in range(1, hops + 1):
         before = " UNION ".join(f"SELECT id FROM h{k}" for k in range(h))
         out.append(f"h{h} AS MATERIALIZED (SELECT DISTINCT target_id AS id FROM edges WHERE type = 'CALLS' AND target_id IS NOT NULL AND source_id IN (SELECT id FROM h{h - 1}) AND target_id NOT IN ({before}))")
@@ -102,6 +115,12 @@ p AS (SELECT a AS cur, [a] AS ids, [n.fqn] AS path FROM ends JOIN nodes n ON n.i
 SELECT row_number() OVER (ORDER BY len(path), path)::INT AS path_no, path FROM p WHERE cur = (SELECT b FROM ends) ORDER BY len(path), path LIMIT 3"""
 
 
+@q("G05_reachable_crowded", reach_sql(10, CROWDED))
+def g05_crowded(s, d):
+    start = table(s, d, "nodes").where(F.col("fqn") == _root(s, d, True)).select("id")
+    return graph.reachable(table(s, d, "edges").where(F.col("type") == "CALLS"), start)
+
+
 def _ends(s, d):
     n, e = table(s, d, "nodes"), table(s, d, "edges").where(F.col("type") == "CALLS")
     a = n.join(e.select(F.col("source_id").alias("id")), "id", "left_semi").orderBy("id").select("fqn").first()

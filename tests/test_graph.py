@@ -112,6 +112,21 @@ def test_impact_falls_back_to_the_name(spark):
     assert graph.impact(nodes, edges, "zz.py::none", 3).count() == 0
 
 
+def test_the_registered_impact_has_five_levels_from_the_most_referenced_node(spark, tmp_path):
+    # 0 has three callers; the chain 1 <- 4 <- 5 ... goes on beyond the fifth level, 20 is called once only
+    pairs = [(1, 0), (2, 0), (3, 0), (4, 1), *((i + 1, i) for i in range(4, 9)), (21, 20)]
+    rows = [(i, a, b, "CALLS", i, 1.0) for i, (a, b) in enumerate(pairs)]
+    nodes = [(i, f"f{i}", f"a.py::f{i:02d}", "a.py", "function") for i in range(22)]
+    spark.createDataFrame(rows, EDGES).write.parquet(str(tmp_path / "edges.parquet"))
+    spark.createDataFrame(nodes, "id long, name string, fqn string, file_path string, kind string").write.parquet(str(tmp_path / "nodes.parquet"))
+    far = [(1, "x::a", "x", "a.py::f07", "CALLS")]
+    spark.createDataFrame(far, "id long, source_fqn string, source_repo string, target_fqn string, type string").write.parquet(str(tmp_path / "cross_repo_edges.parquet"))
+    want = {("a.py::f01", 1), ("a.py::f02", 1), ("a.py::f03", 1), ("a.py::f04", 2), ("a.py::f05", 3), ("a.py::f06", 4), ("a.py::f07", 5)}
+    assert {(r.fqn, r.depth) for r in graphs.g03_whole(spark, str(tmp_path)).collect()} == want
+    assert {(r.fqn, r.depth) for r in graphs.g04_whole(spark, str(tmp_path)).collect()} == want
+    assert {r.id for r in graphs.g05_crowded(spark, str(tmp_path)).collect()} == {0}
+
+
 def test_coupling_and_lineage(spark):
     r = random.Random(3)
     commits = {c: r.sample("abcdef", r.randrange(1, 5)) for c in range(30)}
