@@ -52,6 +52,9 @@ def take_apart(signature: str | None, body: str | None) -> tuple[str, str, str]:
 
 # Wording that says nothing about a function.
 PLACEHOLDER = r"(?:todo|fixme|xxx|tbd|tba|wip|hack|n/?a|none|placeholder|stub|dummy|foo|bar|test|docs?|\.{2,}|…)"
+#: What a remark on origin names: numbers, paths, addresses, capitalised names, teams.
+NAMED = r"(?:(?:the )?(?:\w+ )?(?:team|authors?|maintainers?|upstream)\b|[\w-]*[\d@_][\w./@:#-]*|[\w-]+[./:#][\w./@:#-]+|(?-i:[A-Z])[\w'-]*)"
+NAMED = rf"{NAMED}(?:\W+(?:(?:in|by|on|at|and|of|from|since|version|release)\W+)?{NAMED})*"
 EMPTY_TALK = [
     rf"{PLACEHOLDER}(?:\W+(?:write|add|fill|tidy|clean|fix|document|docs?|documentation|description|comments?|it|this|me|in|up|later|out|here|the|to|follow|needed|missing|{PLACEHOLDER}))*",
     r"(?:no|missing|empty|add|insert|write|put)?\W*(?:a |the |your )?(?:description|documentation|docs?|docstring|comment|summary|text)(?:\W+(?:goes|go|comes?|is|are|to|be|will|follow|follows|added|provided|available|written|missing|pending|needed|here|later|soon|yet|not))*",
@@ -59,23 +62,26 @@ EMPTY_TALK = [
     r"not (?:yet )?(?:documented|implemented|written)(?: yet)?",
     r"undocumented",
     r"lorem ipsum.*",
-    r"(?:auto|automatically)[- ]?generated\b.*",
-    r"generated (?:code|by|from|file|automatically|method|stub)\b.*",
     r"(?:do not|don't) (?:edit|modify|touch)(?: (?:this|the|by|file|manually|hand|it))*",
     r"created (?:from (?:the |a )?(?:\w+ )?template|by [\w. ]{1,30}|(?:on|at) \d[\w./: -]*|with [\w. ]{1,20})",
     r"(?:see|cf\.?|compare|refer to|same as|like|as|as in|as for|ditto|identical to|voir|siehe|ver|véase|vgl\.?)(?: (?:also|the|in|to|at|a|an))*\W+(?:above|below|super|base|parent|overridden|overriden|interface|superclass|base class|parent class|super class|documentation|docs?|readme|wiki|caller|header|before|oben|unten|ci-dessus|plus haut|arriba|#?[\w.:/#()-]+)(?: (?:class|method|function|implementation|interface|version|documentation|docs?|above|below|for details|for more|details))*",
     r"(?:inherited|inherits?|inheritdoc|overrides?|overridden|implements)(?: (?:from|the|by|in|docs?|documentation|parent|base|super|class|method|interface))*(?: [\w.]+)?",
     r"ditto",
-    r"(?:copyright|\(c\)|©|license[ds]?|licen[cs]ed under|spdx|all rights)\b.*",
     r"all rights (?:kept|reserved)",
-    r"(?:author|authors|maintainer|owner|contact|since|version|date|created|modified|last modified|revision|deprecated since|added in|introduced in|new in|ported from|copied from|taken from|adapted from|moved from|origin)\b\W.{0,60}",
-    r"(?:added|introduced|changed|new|available|written|moved|ported|copied|taken|adapted) (?:in|since|from|by|on|at)(?: (?:version|release|v))? ?[\w.\-/ ]{1,40}",
+    rf"(?:added|introduced|changed|new|available|written|moved|ported|copied|taken|adapted) (?:in|since|from|by|on|at)(?: (?:version|release|v|change|commit|revision|build|patch|ticket|issue))? ?{NAMED}",
     r"v?\d+(?:\.\d+)+",
+    r"(?:end)?region(?: [\w-]+){0,3}",
+    r"\{@\w+[^}]*\}",
+]
+#: Remarks with an open end. They are looked for in lines and sentences only, since what follows them may say something.
+REMARKS = [
+    r"(?:auto|automatically)[- ]?generated\b.*",
+    r"generated (?:code|by|from|file|automatically|method|stub)\b.*",
+    r"(?:copyright|\(c\)|©|license[ds]?|licen[cs]ed under|spdx|all rights)\b.*",
+    rf"(?:author|authors|maintainer|owner|contact|since|version|date|created|modified|last modified|revision|deprecated since|added in|introduced in|new in|ported from|copied from|taken from|adapted from|moved from|origin)(?:(?:\s*[:=]|\s+[-–]+\s).{{0,60}}|\W+(?:(?:by|in|on|at|version|release|v|change|commit|revision|build|patch|ticket|issue)\W+)*{NAMED})",
     r"(?:no ?qa|no ?lint|nosec|nosonar|noinspection|eslint|tslint|jshint|jslint|pylint|flake8|mypy|pyright|isort|yapf|ruff|rubocop|clippy|rustfmt|swiftlint|luacheck|prettier|stylelint|istanbul|codecov|checkstyle|findbugs|ts-ignore|ts-nocheck|ts-expect-error|ts-check|go:\w+|use strict)\b.{0,80}",
     r"(?:pragma\b|type: ?ignore|fmt: ?(?:off|on|skip)|black: |coverage: |c8 ignore|(?:allow|deny|cfg|warn|inline|suppresswarnings)\().{0,80}",
-    r"(?:end)?region(?: [\w-]+){0,3}",
     r"@(?:ts-\w+|see|inheritdoc|override|overrides|generated|author|since|version|deprecated|internal|private|public|protected|static|hidden|ignore|api|test|suppress\w*|format|nolint|copyright|license|date|package|file)\b.*",
-    r"\{@\w+[^}]*\}",
     r"#!.*",
     r"-\*-.*-\*-",
     r"(?:vim|ex):.*",
@@ -89,7 +95,8 @@ HOLLOW = set(
     type types kind object instance class self cls name named names value values async static public private protected internal
     none null nil void bool boolean int integer float double str string list dict tuple any number array map optional error""".split()
 )
-_TALK = re.compile(r"\W*(?:" + "|".join(f"(?:{x})" for x in EMPTY_TALK) + r")\W*", re.I | re.S)
+_WHOLE, _TALK = (re.compile(r"\W*(?:" + "|".join(f"(?:{x})" for x in rules) + r")\W*", re.I | re.S) for rules in (EMPTY_TALK, EMPTY_TALK + REMARKS))
+_REMARK = re.compile(r"\W*(?:" + "|".join(f"(?:{x})" for x in REMARKS) + ")", re.I)
 _LISTED = re.compile(r"\b(?:takes|accepts|receives|with(?: the)? (?:parameters?|arguments?|args|params)|parameters?|arguments?|args|params)\b:?\s+((?:(?:the\s+)?[`'\"]?\w+[`'\"]?(?:\s*,\s*(?:and\s+)?|\s+and\s+|\s*&\s*)?)+)[.\s]*$", re.I)
 _FIELD = re.compile(r"^(?:[:@\\](?:param|parameter|arg|argument|type|tparam|keyword|kwarg|raises?|throws?|exception|var)\b(?:\[\w+\])?\s*(?:\{[^}]*\}\s*)?(?P<a>\[?[\w.*]+\]?)\s*:?|[:@\\](?:returns?|rtype|yields?|ytype)\b\s*(?:\{[^}]*\}\s*)?:?|[-*]?\s*[`*]*(?P<b>\w+)[`*]*\s*(?:\([^)]*\)\s*)?(?::|--?|–)\s)\s*(?P<text>.*)$", re.I | re.S)
 _SECTION = re.compile(r"^(?:#+\s*)?(?:args|arguments|parameters|params|returns?|raises|yields|throws|examples?|notes?|attributes|inputs?|outputs?)\s*:?$|^-{3,}$", re.I)
@@ -145,6 +152,17 @@ def _is_code(line: str) -> bool:
     return any(p.match(line) for p in _CODE)
 
 
+def _unwrapped(text: str) -> list[str]:
+    """The lines; one that goes on in small letters where a remark broke off without an end is put together with it."""
+    out: list[str] = []
+    for line in map(str.strip, text.split("\n")):
+        if out and line[:1].islower() and out[-1][-1:] not in ".!?:;" and _REMARK.match(out[-1]):
+            out[-1] += " " + line
+        else:
+            out.append(line)
+    return out
+
+
 def _says(unit: str, known: set[str]) -> bool:
     """Whether a line or sentence says something beyond the known words."""
     unit = unit.strip()
@@ -167,10 +185,9 @@ def says_something(doc: str | None, name: str | None, signature: str | None) ->
     text = description(doc)
     known = set().union(*(stems(w) for w in parts(f"{name or ''} {signature or ''}"))) if (name or signature) else set()
     whole = " ".join(text.split())
-    if not re.search(r"[^\W\d_]", whole) or _TALK.fullmatch(whole):
+    if not re.search(r"[^\W\d_]", whole) or _WHOLE.fullmatch(whole):
         return False
-    for line in text.split("\n"):
-        line = line.strip()
+    for line in _unwrapped(text):
         if not line or _SECTION.match(line) or _is_code(line):
             continue
         m = _FIELD.match(line)

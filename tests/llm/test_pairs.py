@@ -19,15 +19,21 @@ TELLING = [
     "Supprime les liens vides puis renvoie le nombre de modules.", "Two region values count as equal when their cursor agrees.", "返回最近的标签，按时间排序", "See above. Callers must hold the lock.", "<p>Missing entries are treated as current.</p>",
     "fetch_label: Raises if the node was moved in the meantime.", "Created on demand when the cache is cold and kept until the next flush of the journal.", 'r"""Cheapest wins."""', "Not thread safe.",
 ]
+#: Real text that begins like a remark on origin, or follows one.
+AFTER_REMARKS = [
+    "Version of the schema the client must send.", "Owner of the lock, null when it is free.", "Date of the last delivery in UTC.", "Copied from the input buffer into the cache",
+    "@since 2.0\nReads the header and checks its checksum.", "Generated by the build. Reads the header and checks its checksum.", "Copyright of the authors.\n\nBlocks until the queue drains.", "noqa\nBlocks until the queue drains.",
+]
+REMARKS = ["Owner: storage", "Author Jane Doe <jane@example.org>", "Ported from Java.", "copied from util/io.py", "Since version 2.1", "Added in v2 by Jane Doe", "# Added in change 678.", "Moved from core.cache in 3.0", "@deprecated use the other\none, which is cheaper", "Date 2024-01-02", "Generated by the build\nand never edited"]
 SIGNATURE = "def fetch_label(self, marker, lookup) -> int"
 
 
-@pytest.mark.parametrize("doc", TRIVIAL)
+@pytest.mark.parametrize("doc", TRIVIAL + REMARKS)
 def test_trivial(doc):
     assert not pairs.says_something(doc, "fetch_label", SIGNATURE)
 
 
-@pytest.mark.parametrize("doc", TELLING)
+@pytest.mark.parametrize("doc", TELLING + AFTER_REMARKS)
 def test_telling(doc):
     assert pairs.says_something(doc, "fetch_label", SIGNATURE)
 
