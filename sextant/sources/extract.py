@@ -284,7 +284,7 @@ def extract_lexed(path: str, text: str, lang: str) -> Found:
         test = cfg.test_kinds and kind in ("function", "method") and bool(cfg.tests) and short.startswith(cfg.tests)
         if lang in ("javascript", "typescript"):
             test = test or "spec" in path.lower()
-        out.symbol(name, qualified, kind, line_of(b), line_of(max(b, e - 1)), " ".join(head.split()).rstrip("{").strip()[:400], doc_before(lines, line_of(b) - 1, cfg.line_comment), preview(inside.split("\n")), exported, test)
+        out.symbol(name, qualified, kind, line_of(b), line_of(max(b, e - 1)), " ".join(head.split()).rstrip("{").strip(), doc_before(lines, line_of(b) - 1, cfg.line_comment), preview(inside.split("\n")), exported, test)
         if scope:
             out.edge(scope[-1][2], f"{path}::{qualified}", "CONTAINS", line_of(b), CONTAINS_CONFIDENCE)
     callable_ = [n for n in names if n[3] not in SCOPES]

@@ -43,6 +43,14 @@ def test_other_languages(lang, text, kinds, edges):
     assert edges <= {(e["source_fqn"].split("::", 1)[1], e["target"]) for e in f.edges}
 
 
+@pytest.mark.parametrize("lang,text", [("java", "class A {{\n  public int run({}) {{\n    return 1;\n  }}\n}}\n"), ("go", "package a\n\nfunc Run({}) int {{\n\treturn 1\n}}\n"), ("typescript", "export function run({}): number {{\n  return 1;\n}}\n")])
+def test_long_signatures_are_whole(lang, text):
+    parameters = ", ".join(f"parameter_{i} int" if lang == "go" else f"parameter_{i}: int" if lang == "typescript" else f"int parameter_{i}" for i in range(60))
+    found = extract.extract_file("a", lang, text.format(parameters))
+    run = next(x for x in found.symbols if x["name"].lower() == "run")
+    assert parameters in run["signature"] and len(run["signature"]) > 900
+
+
 def test_markdown():
     f = extract.extract_file("a.md", "markdown", "# Top One\n```{r setup}\n# no\n```\n## Sub!\n")
     assert [(s["kind"], s["fqn"]) for s in f.symbols] == [("heading1", "a.md::Top_One"), ("chunk", "a.md::r_setup"), ("heading2", "a.md::Sub")]
