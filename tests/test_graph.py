@@ -141,3 +141,14 @@ def test_coupling_and_lineage(spark):
     want = {(a, b, n, round(n / max(count[a], count[b]), 9)) for (a, b), n in pairs.items() if n >= 4}
     assert {(x.file_a, x.file_b, x.shared_commits, round(x.coupling_score, 9)) for x in coupling.coupling(df).collect()} == want
     assert {x.file_path: x.commit_count for x in coupling.lineage(df).collect()} == dict(count)
+
+
+def test_savings_are_of_the_capsules(spark, data, monkeypatch):
+    texts = {w: "x" * 4 * n for w, n in zip(graphs.WORDS, (100, 200, 300, 400))}
+    asked = []
+    monkeypatch.setattr(graphs, "index", lambda s, d: None)
+    monkeypatch.setattr(graphs.capsule, "capsule", lambda ix, w: asked.append(w))
+    monkeypatch.setattr(graphs.render, "capsule_text", lambda w, found, most: texts[w])
+    got, fixed = graphs.c13_capsule(spark, data).first(), graphs.c13(spark, data).first()
+    assert asked == list(graphs.WORDS)
+    assert (got.n, got.base) == (fixed.n, fixed.base) and (got.ours, fixed.ours) == (1000, 2000)
