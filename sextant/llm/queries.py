@@ -50,6 +50,17 @@ def p8_ids(spark, d):
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+#: Documents that ``p8_joined`` puts together: a fixed number, so that no text grows with the table.
+JOINED = 512
+
+
+def p8_joined(spark, d):
+    """Very long texts: every ``JOINED`` neighbouring documents as one. Without SQL; a test compares with encoding the whole texts."""
+    docs = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / JOINED).cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("t"))
+    long = docs.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("p")).select("part", F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("text"))
+    return tokens.encode_corpus(long, "part", "text")
+
+
 def p9_found(spark, d):
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -58,7 +69,7 @@ def p10_found(spark, d):
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p4_neighbours, p4_nearest, p6_found, p6_pairs, p7_found, p7_weights, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p4_neighbours, p4_nearest, p6_found, p6_pairs, p7_found, p7_weights, p8_ids, p8_joined, p9_found, p10_found)}
 
 LEXIMIN = """
 items AS (SELECT query_id, node_id, max(score_breakdown.bm25) AS a, max(score_breakdown.semantic) AS b, max(score_breakdown.graph) AS c

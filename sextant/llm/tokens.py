@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,42 +41,46 @@ def _encoder(name: str, data: bytes):
     return _cache[name]
 
 
-def _sync(text: str, i: int) -> bool:
-    """Whether every scan has a boundary at i: a blank or line end after a character that isn't white space."""
-    return text[i] in " \n" and not text[i - 1].isspace()
+#: A blank or line end after a character that isn't white space: every scan has a boundary before it.
+_STITCH = re.compile(r"\S(?=[ \n])")
+
+
+def _stitch(text: str, i: int) -> int:
+    """The first stitch at i or after it, but not at the text's beginning; the text's length where there is none."""
+    m = _STITCH.search(text, max(i - 1, 0))
+    return m.end() if m else len(text)
 
 
 def windows(text: str, chunk: int = CHUNK, overlap: int = OVERLAP):
     """Overlapping chunks of a text: (number, window, core, last).
 
-    A window has one character before its chunk (but for the first), the chunk, and an overlap that is doubled until it
-    holds a stitch or the text ends. ``core`` is the place in the window where the chunk ends.
+    A window has one character before its chunk (but for the first), the chunk, and an overlap that reaches past the first stitch at the chunk's end or
+    after it. ``core`` is the place in the window where the chunk ends. Each stitch is looked for once and carried forward; chunks without one,
+    as in a long text without blanks, give no window, since the chunk before them covers them. So the windows together are at
+    most about twice as long as the text, whatever it holds.
     """
-    n, c, s = len(text), 0, 0
+    n, c, s, start = len(text), 0, 0, 0
     while True:
-        e, more, lead = min(s + chunk, n), overlap, int(c > 0)
-        stop = min(e + more, n)
-        while stop < n and not any(_sync(text, i) for i in range(max(e, 1), stop)):
-            more *= 2
-            stop = min(e + more, n)
-        yield c, text[s - lead : min(stop + 1, n)], e - s + lead, e >= n
-        if e >= n:
+        e, lead = min(s + chunk, n), int(c > 0)
+        end = n if e >= n else start if start >= e else _stitch(text, e)
+        if end > start or c == 0:
+            yield c, text[s - lead : min(max(end, min(e + overlap, n)) + 1, n)], e - s + lead, end >= n
+        if end >= n:
             return
-        c, s = c + 1, e
+        c, s, start = c + 1, e, end
 
 
 def piece(window: str, number: int, core: int, last: bool) -> str:
     """The part of a window that belongs to its chunk: from the first stitch in the chunk or after it to the first stitch at its end or after it.
 
-    Both neighbours of a stitch find it by their own scans, so pieces neither overlap nor leave a gap. A chunk without a stitch is
-    empty: the chunk before it covers it.
+    The window is pre-tokenised. Both neighbours of a stitch find it by their own scans, so pieces neither overlap nor leave a gap.
     """
     import regex
 
     if number == 0 and last:
         return window
     scan = _cache.get("scan") or _cache.setdefault("scan", regex.compile(PATTERN))
-    stitches = [m.start() for m in scan.finditer(window) if m.start() and _sync(window, m.start())]
+    stitches = [i for m in scan.finditer(window) if (i := m.start()) and window[i] in " \n" and not window[i - 1].isspace()]
     start = next(iter(stitches), len(window)) if number else 0
     end = len(window) if last else next((i for i in stitches if i >= core), len(window))
     return window[start:end]
@@ -86,7 +91,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts have an empty list. Strings that look like special tokens are plain text. Rows with a null id are kept.
     Extra columns are ignored. Texts of up to ``chunk`` * ``spread_chunks`` characters stay where they are, in Arrow batches; only longer ones are
-    shuffled, by chunk and then by row. The vocabulary's file is read on the driver and sent to the executors, its size is checked.
+    shuffled, by chunk and then by row (told apart by id and a hash of the text). The vocabulary's file is read on the driver and sent to the executors, its size is checked.
     """
     path = os.path.join(tokenizer_dir, f"{vocabulary}.tiktoken")
     if os.path.getsize(path) > MAX_VOCABULARY_BYTES:
@@ -107,23 +112,24 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             for i, t in enumerate(b.column(1).to_pylist()):
                 for w in windows(t, chunk, overlap):
-                    whole = [b.column(0).slice(i, 1), b.column(2).slice(i, 1), b.column(3).slice(i, 1)]
-                    yield pa.RecordBatch.from_arrays(whole + [pa.array([x], y) for x, y in zip(w, (pa.int32(), pa.string(), pa.int32(), pa.bool_()))], names=["k", "h", "n", "c", "w", "core", "last"])
+                    whole = [b.column(0).slice(i, 1), b.column(2).slice(i, 1)]
+                    yield pa.RecordBatch.from_arrays(whole + [pa.array([x], y) for x, y in zip(w, (pa.int32(), pa.string(), pa.int32(), pa.bool_()))], names=["k", "h", "c", "w", "core", "last"])
 
     def encode(batches):
         enc = _encoder(vocabulary, ranks.value)
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in (4, 3, 5, 6)]
+            cols = [b.column(i).to_pylist() for i in (3, 2, 4, 5)]
             out = [enc.encode_ordinary(piece(w, c, core, last)) for w, c, core, last in zip(*cols)]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + [pa.array(out, ints)], names=["k", "h", "n", "c", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(3)] + [pa.array(out, ints)], names=["k", "h", "c", "ids"])
 
     long = F.length("t") > chunk * spread_chunks
     a = d.where(~long).mapInArrow(here, f"k {kind}, ids array<int>")
-    x = d.where(long).groupBy("k", "t").agg(F.count(F.lit(1)).alias("n")).select("k", "t", F.xxhash64("t").alias("h"), "n")
-    x = x.mapInArrow(split, f"k {kind}, h long, n long, c int, w string, core int, last boolean").repartition("k", "h", "c")
-    x = x.mapInArrow(encode, f"k {kind}, h long, n long, c int, ids array<int>")
-    x = x.groupBy("k", "h", "n").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("p"))
-    b = x.select("k", F.flatten(F.transform("p", lambda q: q["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1), "n"))).select("k", "ids")
+    x = d.where(long).select("k", "t", F.xxhash64("t").alias("h"))
+    x = x.mapInArrow(split, f"k {kind}, h long, c int, w string, core int, last boolean").repartition("k", "h", "c")
+    x = x.mapInArrow(encode, f"k {kind}, h long, c int, ids array<int>")
+    # a repeated row gives each of its chunks again; chunk 0 tells how often
+    x = x.groupBy("k", "h").agg(F.array_sort(F.collect_set(F.struct("c", "ids"))).alias("p"), F.count(F.when(F.col("c") == 0, 1)).alias("n"))
+    b = x.select("k", F.flatten(F.transform("p", lambda q: q["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("k", "ids")
     return a.unionByName(b).select(F.col("k").alias(id_col), "ids")
 
 

@@ -55,3 +55,24 @@ def test_rows(spark, data, spread):
     got = sorted(((x.doc_id or 0, list(x.ids)) for x in tokens.encode_corpus(df, chunk=700, overlap=16, spread_chunks=spread).collect()))
     assert got == sorted((i or 0, whole(t or "", data)) for i, t in rows)
     assert tokens.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_windows_of_a_text_without_blanks_are_linear(data):
+    r = random.Random(2)
+    text = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=10_000_000))
+    for t in (text, "a b " + text, text[:100_000] + " " + text[:200_000] + "\n" + text[:50_000] + "\n\n\n" + text[:20_000]):
+        assert sum(len(w[1]) for w in tokens.windows(t)) <= 2.2 * len(t) + 10_000
+        assert "".join(tokens.piece(w[1], w[0], w[2], w[3]) for w in tokens.windows(t)) == t
+    assert chunked(text[:300_000] + " end", data, 4096, 256) == whole(text[:300_000] + " end", data)
+
+
+def test_joined_documents_equal_whole_encoding(spark, data):
+    from sextant.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    got = {r.part: list(r.ids) for r in queries.p8_joined(spark, d).collect()}
+    parts = {}
+    for r in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect():
+        parts.setdefault(r.doc_id // queries.JOINED, []).append(r.text or "")
+    assert max(len("\n".join(t)) for t in parts.values()) > 262_144
+    assert got == {k: whole("\n".join(t), data) for k, t in parts.items()}
