@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib.util
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -54,6 +55,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Write ``df`` as compressed Parquet into the checkpoint folder and return it as read from there.
+
+    As ``cut``, but by columns: smaller on disk, and later reads take only the columns they need. For tables that are read several times.
+    """
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"kept-{uuid.uuid4()}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of a data folder, a file or a folder of files."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
