@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.paths import canonical_path, module_candidates, relative_base
-from sextant.operators.skew import heavy_keys, skew_join
-from sextant.session import cut
+from sextant.operators.skew import heavy_counts, skew_join
+from sextant.session import cut, keep
 
 #: Parts in which the lives of one key are merged first, so that a key with very many lives loads no single task.
 MERGE_PARTS = 16
@@ -46,13 +46,14 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: list[str], at:
     Rows with a null in a key refer to nothing and are no cases. A null ``at`` can't be placed in time: such a row is
     a case only if its key has no life at all. Repeated rows are cases each. All columns of ``refs`` are kept.
 
-    The heavy keys and the keys that fail are written to the checkpoint folder, so that neither is worked out twice.
+    The distinct keys, the heavy ones and those that fail are written to the checkpoint folder, so that none is worked out twice.
     """
     present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     refs = refs.where(present)
     parents = parents.select(*keys, "born", "died").where(present & F.col("born").isNotNull())
-    heavy = cut(heavy_keys(refs, keys))
-    fk = refs.groupBy(*keys).agg(F.min(at).alias("__first"), F.max(at).alias("__last"))
+    # one aggregation gives the keys with their times and the heavy ones among them
+    fk = keep(refs.groupBy(*keys).agg(F.min(at).alias("__first"), F.max(at).alias("__last"), F.count(F.lit(1)).alias("__n")))
+    heavy = cut(heavy_counts(fk.select(*keys, "__n"), keys))
     same = lambda a, b, names: reduce(lambda x, y: x & y, [a[k] == b[n] for k, n in zip(keys, names)])
     pk = [f"__p{i}" for i in range(len(keys))]
     p = parents.select(*[F.col(k).alias(n) for k, n in zip(keys, pk)], F.col("born").alias("__born"), F.col("died").alias("__died"))

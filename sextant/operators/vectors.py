@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions.text import dot, norm, vector_terms
-from sextant.operators.skew import HEAVY_SHARE, skew_join
+from sextant.operators.skew import heavy_counts, skew_join
 from sextant.session import cut
 
 MIN_DF, MAX_TERMS = 2, 20_000
@@ -146,5 +146,5 @@ def sparse_from_json(rows: DataFrame) -> DataFrame:
 
 def idf_join(counts: DataFrame, df: DataFrame) -> DataFrame:
     """Counts with their document frequencies; frequent terms are joined in salted parts."""
-    heavy = df.where(F.col("df") >= F.greatest(F.lit(2), df.agg(F.sum("df")).scalar() * HEAVY_SHARE)).select("term")
+    heavy = heavy_counts(df.select("term", F.col("df").alias("__n")), ["term"])
     return skew_join(counts, df, ["term"], heavy=heavy)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from sextant.operators import eager, incremental, orphans
-from sextant.session import table
+from sextant.session import ensure_checkpoint_dir, table
 
 
 def p1_found(spark, d):
@@ -40,7 +43,13 @@ def p5_versions(spark, d):
     return incremental.replay_runs(table(spark, d, "file_cache"), table(spark, d, "index_runs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_degrees, p1_rollup, p2_found, p2_counts, p5_found, p5_versions)}
+def p5_run_by_run(spark, d):
+    """One run after the other through the ledger on disk, as a scheduled job would go."""
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"ledger-{uuid.uuid4()}")
+    return incremental.run_by_run(table(spark, d, "file_cache"), table(spark, d, "index_runs"), folder)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_degrees, p1_rollup, p2_found, p2_counts, p5_found, p5_versions, p5_run_by_run)}
 
 CANON = r"regexp_replace(replace(trim({0}, E' \t\r\n'), '\', '/'), '^\./', '')"
 
@@ -103,5 +112,6 @@ FROM nodes d LEFT JOIN o ON o.node_id = d.id LEFT JOIN i ON i.node_id = d.id WHE
     "p2_found": f"WITH {ORPHANS} SELECT table_name, period, ref_id FROM orphans",
     "p2_counts": f"WITH {ORPHANS} SELECT table_name, period, count(*)::BIGINT AS orphans FROM orphans GROUP BY ALL",
     "p5_found": f"WITH {RUNS} SELECT run_id, file_path FROM cases",
+    "p5_run_by_run": f"WITH {RUNS} SELECT run_id, file_path, version FROM cases",
     "p5_versions": f"WITH {RUNS} SELECT run_id, file_path, version FROM cases",
 }

@@ -115,10 +115,11 @@ def sample(seed):
     return log + log[:5], runs
 
 
+@pytest.mark.parametrize("limit", [0, incremental.MAX_BROADCAST_RUNS])
 @pytest.mark.parametrize("seed", range(3))
-def test_replay_equals_naive(spark, seed):
+def test_replay_equals_naive(spark, seed, limit):
     log, runs = sample(seed)
-    got = incremental.replay_runs(spark.createDataFrame(log, LOG), spark.createDataFrame(runs, RUNS))
+    got = incremental.replay_runs(spark.createDataFrame(log, LOG), spark.createDataFrame(runs, RUNS), limit)
     assert sorted((r.run_id, r.file_path) for r in got.collect()) == naive(log, runs)
 
 
@@ -138,6 +139,31 @@ def test_run_by_run_with_ledger(spark, tmp_path):
     assert sorted(got) == naive(log, runs)
 
 
+def test_runs_go_on_after_a_failure(spark, tmp_path, monkeypatch):
+    log, runs = sample(2)
+    ldf, rdf = spark.createDataFrame(log, LOG), spark.createDataFrame(runs, RUNS)
+    commit, calls = incremental.Ledger.commit, []
+
+    def fails_once(self, state, run):
+        calls.append(run)
+        if len(calls) == 2:
+            raise OSError("lost")
+        commit(self, state, run)
+
+    monkeypatch.setattr(incremental.Ledger, "commit", fails_once)
+    with pytest.raises(OSError):
+        incremental.run_by_run(ldf, rdf, str(tmp_path / "l"))
+    got = incremental.run_by_run(ldf, rdf, str(tmp_path / "l"))
+    assert sorted((r.run_id, r.file_path) for r in got.collect()) == naive(log, runs)
+    assert calls[1] == calls[2]
+
+
+def test_reads_join_by_equal_batches(spark):
+    log, runs = sample(0)
+    plan = incremental.replay_runs(spark.createDataFrame(log, LOG), spark.createDataFrame(runs, RUNS), 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "BroadcastNestedLoop" not in plan and "Join Cross" not in plan
+
+
 def test_incremental_without_rows(spark):
     log, runs = sample(1)
     e = incremental.replay_runs(spark.createDataFrame([], LOG), spark.createDataFrame(runs, RUNS))
