@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.paths import module_candidates
-from sextant.operators.skew import HEAVY_SHARE, skew_join
+from sextant.operators.skew import HEAVY_SHARE, heavy_keys, skew_join
 from sextant.session import cut
 
 MIN_CONFIDENCE, MAX_FANOUT = 0.75, 40
@@ -66,12 +66,14 @@ def impact(nodes: DataFrame, edges: DataFrame, fqn: str, depth: int = 5, cross:
     """
     n = nodes.select("id", "fqn", "file_path", "kind")
     e = edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t"), F.col("type").alias("edge_type"), F.col("id").alias("edge"))
+    # the most referenced targets are divided, whatever the size of a level
+    crowded = cut(heavy_keys(e, ["t"]))
     root = cut(find_root(nodes, fqn))
     seen = root.select("fqn", "id")
     front = seen.select(F.col("id").alias("t"), F.col("fqn").alias("target_fqn"))
     out = None
     for d in range(1, depth + 1):
-        hits = e.join(front, "t").join(n, F.col("s") == F.col("id")).select("fqn", "id", "file_path", "kind", "edge_type", "target_fqn", "edge", F.lit(0).alias("far"))
+        hits = skew_join(e, front, ["t"], heavy=crowded).join(n, F.col("s") == F.col("id")).select("fqn", "id", "file_path", "kind", "edge_type", "target_fqn", "edge", F.lit(0).alias("far"))
         if cross is not None:
             x = cross.select(F.col("source_fqn").alias("fqn"), F.col("source_repo").alias("file_path"), F.col("target_fqn").alias("xt"), F.col("type").alias("edge_type"), F.col("id").alias("edge"))
             x = x.join(front, F.col("xt") == F.col("target_fqn")).join(n.select(F.col("fqn").alias("nf"), F.col("id")), F.col("fqn") == F.col("nf"), "left")
