@@ -2,10 +2,14 @@
 
 Every vector is represented by the order of its nearest pivots. It is posted in the inverted files of its first
 pivots. Vectors in the same file are compared by the footrule distance of their orders; those near enough are
-reranked, first by a small integer sketch that travels with the posting, then by the exact cosine.
+reranked, first by a sketch that travels with the posting, then by the exact cosine.
 
-Without a least cosine, every vector keeps the nearest of all that share a file with it. The number of files is
-widened until a sample's true neighbours, found by brute force, are reached.
+Pivots are spread over space: of those drawn from the data the ones very near another are left out, so that a dense region isn't cut into pieces
+whose orders have nothing in common. In how many files a vector is posted and how great a footrule distance is still
+looked at is measured: the true neighbours of a sample, found by brute force, must be reached. The sketch is what is left of a vector without its
+nearest pivot, on a scale of its own, so it tells the members of a dense region apart as well as any others.
+
+Without a least cosine, every vector keeps the nearest of all that share a file with it.
 """
 
 from __future__ import annotations
@@ -20,16 +24,23 @@ from pyspark.sql import functions as F
 from sextant.operators.skew import skew_join
 from sextant.session import cut
 
-#: Pivots in an order, and files in which a vector is posted.
-PREFIX, LISTS = 8, 4
-#: Greatest footrule distance of a candidate; PREFIX * (PREFIX + 1) = 72 is that of orders without a common pivot.
+#: Pivots in an order that footrule distances compare; pivots of an order that are kept; files in which a vector is posted at least.
+PREFIX, DEPTH, LISTS = 8, 16, 4
+#: Least bound of the footrule distance of a candidate; PREFIX * (PREFIX + 1) = 72 is that of orders without a common pivot.
 FOOTRULE = 52
 #: The sketch's cosine may be this much lower than the wanted one. Its error is under 0.01.
 SKETCH_SLACK = 0.03
-#: Pivots: about 4 * sqrt(rows), at least and at most these. They are a bounded sample; every row is indexed.
-MIN_PIVOTS, MAX_PIVOTS = 64, 16384
+#: Candidates kept for a vector beyond the wanted number, and the share of the distance within which sketches are taken as equal (the smaller id first).
+SPARE, SAME = 4, 0.004
+#: Pivots: about 4 * sqrt(rows), at least and at most these. They are a bounded sample; every row is indexed. With the most, files grow beyond 4 billion rows.
+MIN_PIVOTS, MAX_PIVOTS = 64, 1 << 18
+#: Without a least cosine, a pivot is left out if an earlier one has this cosine or more with it; with one, if it has at least that.
+SAME_PIVOT = 0.95
 #: A file with more postings than this is divided into blocks, and every two blocks are compared as a task of their own.
 BLOCK = 4096
+#: Sampled vectors of each length. With a least cosine: the share of their true neighbours that must be reached by files and by footrule distance,
+#: the share below which the index is given up for comparing all, and the number of neighbours below which nothing is concluded.
+TRIED, REACHED_NEAR, GIVEN_UP, ENOUGH = 512, 0.99, 0.95, 10
 #: Without a least cosine: longest order, sampled vectors of each length, and the share of their true neighbours that must share a file with them.
 LONG, SAMPLE, REACHED = 32, 256, 0.93
 #: Cosines in float32 may be this much off; within it candidates are compared by float64.
@@ -41,8 +52,23 @@ def pivot_count(rows: int) -> int:
     return int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 ** round(math.log2(4 * math.sqrt(max(rows, 1)))))))
 
 
-def choose_pivots(vectors: DataFrame, id_col: str, vec_col: str, rows: int) -> dict[int, np.ndarray]:
-    """Unit pivots by vector length: rows whose id has a small hash, at most twice the wanted number; for lengths with too few, unit axes are added."""
+def spread_out(pivots: np.ndarray, near: float) -> np.ndarray:
+    """Of unit rows those that have a cosine of less than ``near`` with every earlier one that is kept."""
+    kept = pivots[:0]
+    for s in range(0, len(pivots), 512):
+        part = pivots[s : s + 512]
+        part = part[(part @ kept.T).max(axis=1, initial=-1) < near]
+        close = np.triu(part @ part.T >= near, 1)
+        take = np.ones(len(part), bool)
+        for i in range(len(part)):
+            if take[i]:
+                take &= ~close[i]
+        kept = np.vstack([kept, part[take]])
+    return kept
+
+
+def choose_pivots(vectors: DataFrame, id_col: str, vec_col: str, rows: int, near: float = SAME_PIVOT) -> dict[int, np.ndarray]:
+    """Unit pivots by vector length: rows whose id has a small hash, at most twice the wanted number, without those very near another; for lengths with too few, unit axes are added."""
     p = pivot_count(rows)
     share = min(1.0, p / max(rows, 1))
     h = F.xxhash64(id_col)
@@ -54,7 +80,7 @@ def choose_pivots(vectors: DataFrame, id_col: str, vec_col: str, rows: int) -> d
             n = np.linalg.norm(a)
             if np.isfinite(n) and n > 0:
                 by.setdefault(len(a), []).append(a / n)
-    return {d: np.unique(np.asarray(v, dtype=np.float32), axis=0) for d, v in by.items()}
+    return {d: spread_out(np.asarray(v, dtype=np.float32), near) for d, v in by.items()}
 
 
 def _with_axes(pivots: dict[int, np.ndarray], d: int) -> np.ndarray:
@@ -67,17 +93,34 @@ def _with_axes(pivots: dict[int, np.ndarray], d: int) -> np.ndarray:
 
 
 def orders(m: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """The nearest pivots of each unit row, nearest first, as uint16; padded with 65535 where there are fewer."""
-    out = np.full((len(m), prefix), 65535, dtype=np.uint16)
+    """The nearest pivots of each unit row, nearest first, as int32; padded with -1 where there are fewer."""
+    out = np.full((len(m), prefix), -1, dtype=np.int32)
     k = min(prefix, len(pivots))
-    for s in range(0, len(m), 2048):
-        sim = m[s : s + 2048] @ pivots.T
+    step = max(16, min(2048, (1 << 22) // max(len(pivots), 1)))
+    for s in range(0, len(m), step):
+        sim = m[s : s + step] @ pivots.T
         idx = np.argpartition(-sim, k - 1, axis=1)[:, :k] if k < sim.shape[1] else np.tile(np.arange(k), (len(sim), 1))
         near = np.take_along_axis(sim, idx, 1)
-        out[s : s + 2048, :k] = np.take_along_axis(idx, np.lexsort((idx, -near), axis=1), 1)
+        out[s : s + step, :k] = np.take_along_axis(idx, np.lexsort((idx, -near), axis=1), 1)
     return out
 
 
+def sketches(m: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows of bytes for unit rows: their part along the nearest pivot, a scale, and the rest as whole numbers of that scale."""
+    along = np.einsum("ij,ij->i", m, first)
+    rest = m - along[:, None] * first
+    scale = np.maximum(np.abs(rest).max(axis=1), 1e-30) / 127
+    head = np.stack([along, scale], 1).astype(np.float32)
+    return np.hstack([head.view(np.int8).reshape(len(m), 8), np.rint(rest / scale[:, None]).astype(np.int8)])
+
+
+def from_sketches(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Unit rows that the sketches stand for."""
+    head = np.ascontiguousarray(raw[:, :8]).view(np.float32)
+    m = head[:, :1] * first + head[:, 1:] * raw[:, 8:].astype(np.float32)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Footrule distances of truncated orders, all of a against all of b: the sum over pivots of |place in a - place in b|, an absent pivot being in place PREFIX."""
     n = a.shape[1]
@@ -105,6 +148,7 @@ def _by_length(vec: pa.Array):
 
 def _index_rows(pivots: dict[int, np.ndarray]):
     schema = pa.schema([("id", pa.int64()), ("at", pa.timestamp("us", "UTC")), ("h", pa.int64()), ("dim", pa.int32()), ("perm", pa.binary()), ("sketch", pa.binary())])
+    width = _width(pivots)
 
     def run(batches):
         for b in batches:
@@ -113,81 +157,214 @@ def _index_rows(pivots: dict[int, np.ndarray]):
             perm, sketch = [None] * size, [None] * size
             for at, d, m, top in _by_length(vec):
                 m = m / top[:, None]
-                q = np.rint(m * 127).astype(np.int8)
                 m = m / np.linalg.norm(m, axis=1, keepdims=True)
-                o = orders(m, _with_axes(pivots, d), PREFIX)
-                for r, x, y in zip(at, o, q):
+                p = _with_axes(pivots, d)
+                o = orders(m, p, DEPTH)
+                for r, x, y in zip(at, o.astype(width), sketches(m, p[o[:, 0]])):
                     perm[r], sketch[r] = x.tobytes(), y.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(schema.field(1).type), b.column(2), pa.array(lengths, pa.int32()), pa.array(perm, pa.binary()), pa.array(sketch, pa.binary())], schema=schema)
 
     return run
 
 
-def _compare(floor: float, limit: int):
-    out = pa.schema([("rep_a", pa.int64()), ("rep_b", pa.int64())])
+def _width(pivots: dict[int, np.ndarray]):
+    """The narrowest type for numbers of pivots; those that are missing become its greatest number."""
+    return np.uint16 if max(map(len, pivots.values()), default=0) + 2 * PREFIX < 65535 else np.uint32
+
+
+def _rows(perm, sketch, dim: int, pivots: dict[int, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(orders, unit rows) of Arrow columns of one length of vector; ``n`` pivots in each order."""
+    o = np.frombuffer(b"".join(perm.to_pylist()), dtype=_width(pivots)).reshape(-1, n)
+    raw = np.frombuffer(b"".join(sketch.to_pylist()), dtype=np.int8).reshape(len(o), dim + 8)
+    return o, from_sketches(raw, _with_axes(pivots, dim)[o[:, 0]])
+
+
+class Near:
+    """How near unit rows are: cosine - 1, as half the squared distance of rows taken from their middle, so that in a dense region small differences are not lost."""
+
+    OUT = np.float32(-9)
+
+    def __init__(self, *rows: np.ndarray):
+        middle = np.vstack(rows).mean(axis=0, dtype=np.float64) if sum(map(len, rows)) else 0.0
+        self.rows = [(r - middle).astype(np.float32) for r in rows]
+        self.half = [np.einsum("ij,ij->i", r, r) / 2 for r in self.rows]
+        #: Scores may be this much off.
+        self.off = np.float32(4e-7) * max((h.max(initial=0) for h in self.half), default=0)
+
+    def scores(self, a: int, at, b: int, to) -> np.ndarray:
+        out = self.rows[a][at] @ self.rows[b][to].T
+        out -= self.half[a][at][:, None]
+        out -= self.half[b][to][None, :]
+        return out
+
+    def best(self, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of the ``k`` greatest of each row, without what is OUT; among those that sketches can't tell apart the first columns."""
+        some = score > -3
+        over = np.count_nonzero(some, axis=1) > k
+        if not over.any():
+            return np.nonzero(some)
+        kth = np.full(len(score), -3, np.float32)
+        kth[over] = np.partition(score[over], -k, axis=1)[:, -k]
+        tie = np.where(over, self.off - SAME * kth, 0).astype(np.float32)
+        sure = score > (kth + tie)[:, None]
+        band = (score >= (kth - tie)[:, None]) & ~sure & over[:, None]
+        room = k - np.count_nonzero(sure, axis=1)
+        return np.nonzero(sure | (band & (np.cumsum(band, axis=1, dtype=np.int32) <= room[:, None])))
+
+
+def measured_bounds(reps: DataFrame, pivots: dict[int, np.ndarray], k: int, floor: float) -> dict[int, tuple[int, int]]:
+    """(files, footrule distance) for each length of vector, as a sample's true neighbours of at least ``floor`` ask for.
+
+    About ``TRIED`` vectors of each length are sent to all tasks and compared with every vector. At least LISTS files and FOOTRULE; (0, no bound) where even the whole order
+    reaches too few: then all vectors of that length are compared.
+    """
+    sizes = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().collect()}
+    if not sizes:
+        return {}
+    spark = reps.sparkSession
+    share = spark.createDataFrame([(d, min(1.0, TRIED / n)) for d, n in sizes.items()], "dim int, share double")
+    picked = reps.join(F.broadcast(share), "dim").where(F.xxhash64("rep", F.lit("tried")).cast("double") <= (F.col("share") - 0.5) * 2.0**64).select("dim", "rep", "perm", "sketch").toArrow()
+    shared = spark.sparkContext.broadcast(pivots)
+    tried = {}
+    for d in sizes:
+        t = picked.filter(pa.array(picked.column("dim").to_numpy() == d))
+        if len(t):
+            o, u = _rows(t.column("perm"), t.column("sketch"), d, pivots, DEPTH)
+            tried[d] = (t.column("rep").to_numpy(), o, u)
+    schema = pa.schema([("dim", pa.int32()), ("rep", pa.int64()), ("score", pa.float32()), ("to", pa.int64()), ("perm", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            dims = b.column(0).to_numpy()
+            for d in map(int, np.unique(dims)):
+                if d not in tried:
+                    continue
+                t = b.filter(pa.array(dims == d))
+                ids, _, u = tried[d]
+                _, v = _rows(t.column(2), t.column(3), d, shared.value, DEPTH)
+                to = t.column(1).to_numpy()
+                near = Near(u, v)
+                score = near.scores(0, slice(None), 1, slice(None))
+                score[(score < floor - SKETCH_SLACK - 1) | (ids[:, None] == to[None, :])] = near.OUT
+                x, y = near.best(score, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), d), pa.int32()), pa.array(ids[x]), pa.array(score[x, y]), t.column(1).take(pa.array(y)), t.column(2).take(pa.array(y)).cast(pa.binary())], schema=schema)
+
+    true = reps.select("dim", "rep", "perm", "sketch").mapInArrow(run, "dim int, rep long, score float, to long, perm binary")
+    true = true.where(F.col("score") >= floor - 1).withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy(F.col("score").desc(), "to"))).where(F.col("__r") <= k).collect()
+    own = {(d, int(i)): o for d, (ids, os, _) in tried.items() for i, o in zip(ids, os)}
+    files, moves = {}, {}
+    for r in true:
+        a, b = own[r.dim, r.rep], np.frombuffer(bytes(r.perm), dtype=_width(pivots))
+        files.setdefault(r.dim, []).append(_first_shared(a.tolist(), b.tolist(), DEPTH))
+        moves.setdefault(r.dim, []).append(int(footrule(a[None, :PREFIX], b[None, :PREFIX])[0, 0]))
+    none = PREFIX * (PREFIX + 1)
+    out = {d: (LISTS, FOOTRULE) for d in sizes}
+    for d, f in files.items():
+        if len(f) >= ENOUGH:
+            reached = [sum(x <= n for x in f) / len(f) for n in range(DEPTH + 1)]
+            lists = next((n for n in range(LISTS, DEPTH + 1) if reached[n] >= REACHED_NEAR), DEPTH)
+            out[d] = (0, none) if reached[DEPTH] < GIVEN_UP else (lists, max(FOOTRULE, int(np.sort(moves[d])[math.ceil(REACHED_NEAR * len(f)) - 1])))
+    return out
+
+
+def _postings(pivots: dict[int, np.ndarray], bounds: dict[int, tuple[int, int]]):
+    """The rows once for each of their files; one file for lengths that are compared whole. Of the order its beginning travels along."""
+    missing, width = np.iinfo(_width(pivots)).max, np.dtype(_width(pivots)).itemsize
+
+    def run(batches):
+        for b in batches:
+            dims = b.column(0).to_numpy()
+            for d in map(int, np.unique(dims)):
+                t = b.filter(pa.array(dims == d))
+                o = np.frombuffer(b"".join(t.column(2).to_pylist()), dtype=_width(pivots)).reshape(len(t), DEPTH)
+                n = bounds[d][0]
+                file = o[:, :n].astype(np.int64) if n else np.zeros((len(t), 1), np.int64)
+                row, at = np.nonzero(file != missing)
+                head = pa.array([x[: PREFIX * width] for x in t.column(2).to_pylist()], pa.binary())
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([t.column(0).take(take), pa.array(file[row, at]), t.column(1).take(take), head.take(take), t.column(3).take(take).cast(pa.binary())], names=["dim", "file", "rep", "perm", "sketch"])
+
+    return run
+
+
+def _files(pivots: dict[int, np.ndarray], bounds: dict[int, tuple[int, int]]):
+    """dim, file, n: how many rows of a batch are posted in each file."""
+    missing = np.iinfo(_width(pivots)).max
+
+    def run(batches):
+        for b in batches:
+            dims = b.column(0).to_numpy()
+            for d in map(int, np.unique(dims)):
+                perm = b.column(1).filter(pa.array(dims == d)).to_pylist()
+                n = bounds[d][0]
+                o = np.frombuffer(b"".join(perm), dtype=_width(pivots)).reshape(len(perm), DEPTH)[:, :n].astype(np.int64) if n else np.zeros((len(perm), 1), np.int64)
+                file, count = np.unique(o[o != missing], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(file), d), pa.int32()), pa.array(file), pa.array(count)], names=["dim", "file", "n"])
+
+    return run
+
+
+def _compare(pivots, bounds: dict[int, tuple[int, int]], floor: float, k: int):
+    out = pa.schema([("rep", pa.int64()), ("to", pa.int64()), ("score", pa.float32())])
 
     def run(key, t):
-        dim, here = key[0].as_py(), key[1].as_py()
-        rep = t.column("rep").to_numpy()
-        perm = np.frombuffer(b"".join(t.column("perm").to_pylist()), dtype=np.uint16).reshape(len(rep), PREFIX)
-        q = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.int8).reshape(len(rep), dim).astype(np.float32)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-        block = t.column("block").to_numpy()
-        b1, b2 = key[2].as_py(), key[3].as_py()
-        left, right = (np.flatnonzero(block == b1), np.flatnonzero(block == b2)) if b1 != b2 else (np.arange(len(rep)),) * 2
-        pairs = []
-        for s in range(0, len(left), 256):
-            ai = left[s : s + 256]
-            bi = right[s:] if b1 == b2 else right
-            near = footrule(perm[ai], perm[bi]) <= limit
-            if b1 == b2:
-                near &= np.arange(len(ai))[:, None] < np.arange(len(bi))[None, :]
-            x, y = np.nonzero(near)
-            x, y = ai[x], bi[y]
-            keep = np.einsum("ij,ij->i", q[x], q[y]) >= floor - SKETCH_SLACK
-            x, y = x[keep], y[keep]
-            # a pair meets in every file that both are posted in; it is reported from the first only
-            a, b = perm[x, :LISTS], perm[y, :LISTS]
-            common = np.where((a[:, :, None] == b[:, None, :]).any(2), a, 65535).min(axis=1, initial=65535)
-            first = common == here
-            pairs.append(np.stack([rep[x[first]], rep[y[first]]], 1))
-        p = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-        return pa.Table.from_arrays([pa.array(p.min(1, initial=2**63 - 1) if len(p) else p[:, 0]), pa.array(p.max(1) if len(p) else p[:, 1])], schema=out)
+        dim, b1, b2 = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        limit = bounds[dim][1]
+        t = t.sort_by("rep")
+        rep, block = t.column("rep").to_numpy(), t.column("block").to_numpy()
+        perm, u = _rows(t.column("perm"), t.column("sketch"), dim, pivots.value, PREFIX)
+        near = Near(u)
+        left, right = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
+        parts = []
+        for a, b in [(left, right)] if b1 == b2 else [(left, right), (right, left)]:
+            for s in range(0, len(a), 256):
+                ai = a[s : s + 256]
+                score = near.scores(0, ai, 0, b)
+                score[(score < floor - SKETCH_SLACK - 1) | (rep[ai][:, None] == rep[b][None, :])] = near.OUT
+                if limit < PREFIX * (PREFIX + 1):
+                    score[footrule(perm[ai], perm[b]) > limit] = near.OUT
+                x, y = near.best(score, k)
+                parts.append((rep[ai[x]], rep[b[y]], score[x, y]))
+        cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)]
+        return pa.Table.from_arrays([pa.array(c) for c in cols], schema=out)
 
     return run
 
 
-def newest_orders(vectors: DataFrame, id_col: str, vec_col: str, newer: str) -> tuple[DataFrame, DataFrame]:
-    """(raw, latest): the input as id, at, v, and of each id the order of the row with the greatest ``at``, written once.
+def newest_orders(vectors: DataFrame, id_col: str, vec_col: str, newer: str, near: float) -> tuple[DataFrame, DataFrame, dict[int, np.ndarray]]:
+    """(raw, latest, pivots): the input as id, at, v, and of each id the order of the row with the greatest ``at``, written once.
 
     Ids whose newest vector is null, all zero or not finite are left out of ``latest``. The vectors themselves are not shuffled.
     """
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(newer).cast("timestamp").alias("at"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull())
-    pivots = choose_pivots(raw, "id", "v", raw.select("id").count())
+    pivots = choose_pivots(raw, "id", "v", raw.select("id").count(), near)
     indexed = raw.select("id", "at", F.xxhash64("v").alias("h"), "v").mapInArrow(_index_rows(pivots), "id long, at timestamp, h long, dim int, perm binary, sketch binary")
     newest = indexed.groupBy("id").agg(F.max(F.struct("at", "h", "dim", "perm", "sketch")).alias("s")).select("id", "s.*")
-    return raw, cut(newest.where(F.col("perm").isNotNull()))
+    return raw, cut(newest.where(F.col("perm").isNotNull())), pivots
 
 
-def candidate_pairs(reps: DataFrame, floor: float) -> DataFrame:
-    """rep_a < rep_b: representatives that meet in a file, near by footrule and by sketch. Each pair once.
+def candidate_pairs(reps: DataFrame, pivots: dict[int, np.ndarray], bounds: dict[int, tuple[int, int]], floor: float, k: int) -> DataFrame:
+    """rep, to: for each representative the nearest by sketch, at most k + SPARE, of those that meet it in a file and are near by footrule distance.
 
-    Long files are divided into blocks; the table of their sizes has one row per file, of which there are at most
-    2 * MAX_PIVOTS for each length of vector, and is broadcast.
+    Only so many are kept already while comparing, in every file and every two blocks, so that a dense region never gives all its pairs. Long files are divided
+    into blocks; the table of their sizes has one row per file, of which there are at most 2 * MAX_PIVOTS for each length of vector, and is broadcast.
     """
-    file = lambda i: F.conv(F.hex(F.concat(F.substring("perm", 2 * i + 2, 1), F.substring("perm", 2 * i + 1, 1))), 16, 10).cast("int")
-    p = reps.select("dim", "rep", "perm", "sketch", F.explode(F.array_distinct(F.array(*[file(i) for i in range(LISTS)]))).alias("file")).where(F.col("file") < 65535)
-    sizes = reps.select("dim", F.explode(F.array_distinct(F.array(*[file(i) for i in range(LISTS)]))).alias("file")).groupBy("dim", "file").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    p = p.join(F.broadcast(sizes), ["dim", "file"])
+    shared = reps.sparkSession.sparkContext.broadcast(pivots)
+    posted = reps.select("dim", "rep", "perm", "sketch").mapInArrow(_postings(pivots, bounds), "dim int, file long, rep long, perm binary, sketch binary")
+    sizes = reps.select("dim", "perm").mapInArrow(_files(pivots, bounds), "dim int, file long, n long").groupBy("dim", "file").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    p = posted.join(F.broadcast(sizes), ["dim", "file"])
     p = p.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     p = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     p = p.select("dim", "file", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "perm", "sketch")
-    return p.groupBy("dim", "file", "b1", "b2").applyInArrow(_compare(floor, FOOTRULE), "rep_a long, rep_b long")
+    met = p.groupBy("dim", "file", "b1", "b2").applyInArrow(_compare(shared, bounds, floor, k + SPARE), "rep long, to long, score float")
+    # two that meet in several files come out of each of them
+    once = met.groupBy("rep", "to").agg(F.max("score").alias("score"))
+    return once.withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy(F.col("score").desc(), "to"))).where(F.col("__r") <= k + SPARE).select("rep", "to")
 
 
-def similar_links(raw: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
+def similar_links(raw: DataFrame, candidates: DataFrame, floor: float) -> DataFrame:
     """rep_a < rep_b, cosine: the candidates with exact cosine >= ``floor``. Only the vectors of candidates are kept after one shuffle."""
-    pairs = cut(candidate_pairs(reps, floor))
+    pairs = cut(candidates.select(F.least("rep", "to").alias("rep_a"), F.greatest("rep", "to").alias("rep_b")).distinct())
     ids = pairs.select(F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("rep_b").alias("rep"))).distinct()
     v = raw.join(ids, F.col("id") == F.col("rep"), "left_semi").groupBy("id").agg(F.max(F.struct("at", "v"))["v"].alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -207,7 +384,7 @@ def _file_rows(pivots: dict[int, np.ndarray]):
                 u = m / top[:, None]
                 o = orders(u / np.linalg.norm(u, axis=1, keepdims=True), _with_axes(pivots, d), LONG)
                 for r, x, y in zip(at, o, m):
-                    files[r], vec[r] = x[x < 65535], y.tobytes()
+                    files[r], vec[r] = x[x >= 0], y.tobytes()
             lengths = b.column(3).value_lengths().fill_null(0).cast(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(schema.field(1).type), b.column(2), lengths, pa.array(files, pa.list_(pa.int32())), pa.array(vec, pa.binary())], schema=schema)
 
@@ -246,10 +423,10 @@ def top_k(u: np.ndarray, ids: np.ndarray, v: np.ndarray, to: np.ndarray, k: int)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _first_shared(a: list[int], b: list[int]) -> int:
-    """In how many files both must be posted to meet; LONG + 1 if they never do."""
+def _first_shared(a: list[int], b: list[int], most: int = LONG) -> int:
+    """In how many files both must be posted to meet; ``most`` + 1 if they never do."""
     at = {f: i for i, f in enumerate(b)}
-    return min((max(i, at[f]) + 1 for i, f in enumerate(a) if f in at), default=LONG + 1)
+    return min((max(i, at[f]) + 1 for i, f in enumerate(a) if f in at), default=most + 1)
 
 
 def wanted_lists(reps: DataFrame, k: int) -> dict[int, int]:
@@ -326,7 +503,7 @@ def nearest_links(reps: DataFrame, k: int) -> DataFrame:
     return once.withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy(F.col("cosine").desc(), "to"))).where(F.col("__r") <= k).drop("__r")
 
 
-def nearest_neighbours(vectors: DataFrame, id_col: str = "node_id", vec_col: str = "vector", newer: str = "updated_at", k: int = 5, floor: float | None = 0.9) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, id_col: str = "node_id", vec_col: str = "vector", newer: str = "updated_at", k: int = 5, floor: float | None = 0.9, exact: bool = False) -> DataFrame:
     """node, neighbour, cosine, rank: of every node its ``k`` most similar nodes, as far as their cosine is at least ``floor``; with None whatever it is.
 
     Of each node only the row with the greatest ``newer`` counts (ties: the greater vector hash, repeated rows count once). Vectors of
@@ -335,16 +512,19 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "node_id", vec_col: str
 
     Nodes with exactly the same vector are one representative in the index, with copies as neighbours of each other at
     cosine 1; a group of copies with a third of all rows therefore costs no more than its size. The index is approximate (recall is measured
-    in the tests), the cosines are exact.
+    in the tests), the cosines are exact. With ``exact`` every vector is compared with all of its length, block by block.
     """
-    if floor is None:
+    if floor is None and not exact:
         latest = newest_files(vectors, id_col, vec_col, newer)
         groups = cut(latest.groupBy("h", "dim").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("files").alias("files"), F.max("vec").alias("vec")))
         near = cut(nearest_links(groups.select("dim", "rep", "files", "vec"), k))
     else:
-        raw, latest = newest_orders(vectors, id_col, vec_col, newer)
+        least = -1.0 if floor is None else floor
+        raw, latest, pivots = newest_orders(vectors, id_col, vec_col, newer, SAME_PIVOT if floor is None else floor)
         groups = cut(latest.groupBy("h", "dim").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("perm").alias("perm"), F.max("sketch").alias("sketch")))
-        links = cut(similar_links(raw, groups.select("dim", "rep", "perm", "sketch"), floor))
+        whole = {r.dim: (0, PREFIX * (PREFIX + 1)) for r in groups.select("dim").distinct().collect()} if exact else None
+        bounds = whole or measured_bounds(groups, pivots, k, least)
+        links = cut(similar_links(raw, candidate_pairs(groups, pivots, bounds, least, k), least))
         near = links.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("to"), "cosine").unionByName(links.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("to"), "cosine"))
     several = groups.where(F.col("n") > 1)
     near = near.unionByName(several.select("rep", F.col("rep").alias("to"), F.lit(1.0).alias("cosine")))
@@ -359,7 +539,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "node_id", vec_col: str
     return out.select(F.col("id").alias("node"), "neighbour", "cosine", "rank")
 
 
-def neighbour_pairs(vectors: DataFrame, k: int = 5, floor: float = 0.9) -> DataFrame:
+def neighbour_pairs(vectors: DataFrame, k: int = 5, floor: float = 0.9, exact: bool = False) -> DataFrame:
     """node_a < node_b: pairs of which one is among the ``k`` most similar of the other, at cosine >= ``floor``."""
-    n = nearest_neighbours(vectors, k=k, floor=floor)
+    n = nearest_neighbours(vectors, k=k, floor=floor, exact=exact)
     return n.select(F.least("node", "neighbour").alias("node_a"), F.greatest("node", "neighbour").alias("node_b")).distinct()

@@ -65,11 +65,16 @@ def p9_found(spark, d):
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_near(spark, d):
+    """Proximity matches. Without SQL: words are read through their forms; a test compares with brute force."""
+    return leaks.near_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_found(spark, d):
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p4_neighbours, p4_nearest, p6_found, p6_pairs, p7_found, p7_weights, p8_ids, p8_joined, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranking, p4_found, p4_neighbours, p4_nearest, p6_found, p6_pairs, p7_found, p7_weights, p8_ids, p8_joined, p9_found, p9_near, p10_found)}
 
 LEXIMIN = """
 items AS (SELECT query_id, node_id, max(score_breakdown.bm25) AS a, max(score_breakdown.semantic) AS b, max(score_breakdown.graph) AS c

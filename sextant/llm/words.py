@@ -61,6 +61,10 @@ def words(text: str | None) -> list[str]:
     return [w if w.isalnum() else _MARKS.sub("", w) for w in _WORD.findall(text)]
 
 
+#: Every ASCII character that is no letter or digit becomes a blank.
+_BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
+
+
 def plain_words(text: str | None) -> set[str]:
-    """The distinct words of a text as it is spelled, with none of the reading of other forms: a fraction of the cost of ``words``, for statistics that only guide a search."""
-    return {w if w.isalnum() else _MARKS.sub("", w) for w in _WORD.findall(text.lower())} if text else set()
+    """The distinct words of a text as it is spelled, with none of the reading of other forms: a small fraction of the cost of ``words``, for statistics that only guide a search."""
+    return set(text.translate(_BLANKS).lower().split()) if text else set()

@@ -33,10 +33,10 @@ def wrap(t, n=7):
     return [" ".join(w[i : i + n]) for i in range(0, len(w), n)]
 
 
-def run(spark, docs, items):
+def run(spark, docs, items, find=None, **options):
     d = spark.createDataFrame([(*x, "i") for x in docs], "doc_id long, text string, item_id string")
     i = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
-    return {(r.doc_id, r.item_id): r.words for r in leaks.leaked_items(d, i).collect()}
+    return {(r.doc_id, r.item_id): r.words for r in (find or leaks.leaked_items)(d, i, **options).collect()}
 
 
 def test_forms(spark):
@@ -58,10 +58,34 @@ def test_equal_items_do_not_hide_each_other(spark):
     assert set(run(spark, [(1, ITEM)], [(1, ITEM), (2, ITEM)])) == {(1, 1), (1, 2)}
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_equals_brute_force(spark, seed):
+def plain_table(items, shared=leaks.SHARED, run=leaks.RUN):
+    """The item table by comparing every two items."""
+    w = {i: words(t) for i, t in items}
+
+    def longest(i, p):
+        best = 0
+        for j, v in w.items():
+            if v != w[i]:
+                for q in range(len(v)):
+                    n = 0
+                    while p + n < len(w[i]) and q + n < len(v) and w[i][p + n] == v[q + n]:
+                        n += 1
+                    best = max(best, n)
+        return best if best >= run else 0
+
+    out = {}
+    for i in w:
+        theirs = [longest(i, p) for p in range(len(w[i]))] + [0]
+        out[i] = (w[i], theirs, {q for p, n in enumerate(theirs) if n >= shared for q in range(p, p + n)})
+    return out
+
+
+def sample(seed):
     r = random.Random(seed)
     items = [(i, " ".join(r.choice(VOCABULARY) for _ in range(r.randrange(5, 60)))) for i in range(12)]
+    # items that share wording of different lengths, repeat themselves, or are equal
+    a, b = items[0][1].split(), items[1][1].split()
+    items += [(20, " ".join(a[:14] + b[:9] + a[:14])), (21, " ".join(b[3:14] + a[2:16])), (22, items[2][1]), (23, " ".join(a[:9] * 3))]
     docs = []
     for k in range(60):
         t = [r.choice(VOCABULARY) for _ in range(r.randrange(10, 80))]
@@ -71,13 +95,52 @@ def test_equals_brute_force(spark, seed):
             p = r.randrange(len(t))
             t[p:p] = w[a : a + r.randrange(1, 40)]
         docs.append((k, " ".join(t)))
-    c = leaks.Checker({i: words(t) for i, t in items})
+    return docs, items
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_item_table(spark, seed):
+    _, items = sample(seed)
+    got = {r.item: (list(r.words), list(r.theirs) or [0] * (len(r.words) + 1), set(r.common)) for r in leaks.item_table(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").collect()}
+    assert got == plain_table(items)
+
+
+@pytest.mark.parametrize(("seed", "options", "broadcast"), [(0, {}, 1000), (1, {"part_chars": 600}, 1000), (1, {}, 0)])
+def test_equals_brute_force(spark, monkeypatch, seed, options, broadcast):
+    monkeypatch.setattr(leaks, "MAX_BROADCAST_DOCS", broadcast)
+    docs, items = sample(seed)
+    c = leaks.Checker(plain_table(items))
     want = {(k, i): n for k, t in docs for i, _ in items if (n := c.count(words(t), i, range(-200, 200))) >= 20}
-    assert run(spark, docs, items) == want and want
+    assert run(spark, docs, items, **options) == want and want
+
+
+@pytest.mark.parametrize("options", [{}, {"part_chars": 500}])
+def test_proximity_equals_brute_force(spark, options):
+    docs, items = sample(3)
+    r = random.Random(3)
+    for k, (_, t) in enumerate(items[:6]):
+        w = t.split()
+        r.shuffle(w)
+        docs.append((100 + k, " ".join(x for y in w for x in (y, "filler"))))
+    df = {}
+    for _, t in docs:
+        for w in set(words(t)):
+            df[w] = df.get(w, 0) + 1
+    rare = leaks.rarest({i: words(t) for i, t in items}, df)
+    want = {}
+    for k, t in docs:
+        w = words(t)
+        for i, text in items:
+            span = leaks.WITHIN * len(words(text))
+            n = max((len(set(w[p : p + span]) & set(rare[i])) for p in range(len(w))), default=0)
+            if n >= leaks.NEAR:
+                want[k, i] = n
+    assert run(spark, docs, items, leaks.near_items, **options) == want and {100, 101} <= {k for k, _ in want}
 
 
 def test_empty(spark):
-    assert run(spark, [], [(1, ITEM)]) == {} and run(spark, [(1, ITEM)], []) == {}
+    for find in (leaks.leaked_items, leaks.near_items):
+        assert run(spark, [], [(1, ITEM)], find) == {} and run(spark, [(1, ITEM)], [], find) == {} and run(spark, [(1, None)], [(1, None)], find) == {}
 
 
 def test_words():

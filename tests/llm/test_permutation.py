@@ -3,7 +3,9 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sextant.llm import permutation as pm
 
@@ -123,6 +125,66 @@ def test_empty(spark):
     assert pm.neighbour_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def dense(clusters, size, noise, others=0, seed=7):
+    r = np.random.default_rng(seed)
+    m = np.repeat(r.normal(size=(clusters, 64)), size, axis=0)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m = np.vstack([m + r.normal(size=m.shape) * noise / 8, r.normal(size=(others, 64))]).astype(np.float32)
+    return m[r.permutation(len(m))]
+
+
+def true_pairs(m, k, floor):
+    u = m.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    out = set()
+    for s in range(0, len(u), 500):
+        sim = u[s : s + 500] @ u.T
+        sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -2
+        near = np.argpartition(-sim, k, axis=1)[:, :k]
+        for i, row in enumerate(near):
+            out |= {(min(s + i, int(j)), max(s + i, int(j))) for j in row if sim[i, j] >= floor}
+    return out
+
+
+@pytest.mark.parametrize(("clusters", "size", "noise", "others"), [(200, 10, 0.2, 0), (20, 100, 0.2, 2000), (1, 2000, 0.1, 0), (1, 2000, 0.3, 0), (1, 2000, 0.02, 3000), (1, 2000, 0.0005, 0), (1, 10_000, 0.1, 5000)])
+def test_dense_regions(spark, clusters, size, noise, others):
+    m = dense(clusters, size, noise, others)
+    got = {tuple(r) for r in pm.neighbour_pairs(spark.createDataFrame(pd.DataFrame({"node_id": np.arange(len(m)), "vector": list(m), "updated_at": T}), "node_id long, vector array<float>, updated_at timestamp")).collect()}
+    want = true_pairs(m, 5, 0.9)
+    assert want and len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_a_dense_region_gives_few_candidates(spark):
+    m = dense(1, 3000, 0.1)
+    raw, latest, pivots = pm.newest_orders(frame(spark, [(i, v, 0) for i, v in enumerate(m)]), "node_id", "vector", "updated_at", 0.9)
+    reps = latest.select("dim", F.col("id").alias("rep"), "perm", "sketch")
+    assert pm.candidate_pairs(reps, pivots, pm.measured_bounds(reps, pivots, 5, 0.9), 0.9, 5).count() <= len(m) * (5 + pm.SPARE)
+
+
+def test_exact(spark, clustered):
+    few = {i: v for i, v in clustered.items() if i < 500}
+    few |= {len(few) + i: v for i, v in enumerate(dense(1, 300, 0.6))}
+    got = {tuple(r) for r in pm.neighbour_pairs(frame(spark, [(i, v, 0) for i, v in few.items()]), floor=0.5, exact=True).collect()}
+    assert got == brute(few, 5, 0.5)
+    all_of = nearest(pm.nearest_neighbours(frame(spark, [(i, v, 0) for i, v in few.items()]), floor=None, exact=True).collect())
+    assert set(all_of) == set(few) and all(len(x) == 5 for x in all_of.values())
+
+
+def test_sketches_keep_small_differences():
+    m = dense(1, 400, 0.001).astype(np.float64)
+    u = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    v = pm.from_sketches(pm.sketches(u, np.tile(u[0], (len(u), 1))), np.tile(u[0], (len(u), 1)))
+    a, b = (np.linalg.norm(x[1] - x[2:].astype(np.float64), axis=1) for x in (u, v))
+    assert np.abs(a / b - 1).max() < 0.02
+
+
+def test_pivots_are_spread():
+    m = dense(5, 200, 0.05)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    kept = pm.spread_out(u, 0.9)
+    assert len(kept) == 5 and len(pm.spread_out(u[:0], 0.9)) == 0
+
+
 def test_footrule_is_the_sum_of_moves():
     r = np.random.default_rng(3)
     a = np.array([r.permutation(20)[: pm.PREFIX] for _ in range(6)], dtype=np.uint16)
