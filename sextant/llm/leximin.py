@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.operators.skew import HEAVY_SHARE
-from sextant.session import cut
+from sextant.session import cut, keep
 
 #: Ranges into which the values of a very large group are divided for ranking.
 RANK_PARTS = 64
@@ -72,8 +72,24 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
     return left.join(F.broadcast(renamed), cond, how).drop(*names.values())
 
 
-def leximin_rank(results: DataFrame, query: str, item: str, scores: dict[str, Column], k: int) -> DataFrame:
-    """The ``k`` items of each query that stand highest in leximin order: query, item, rank, standing.
+def whole_ranks(standing: DataFrame) -> DataFrame:
+    """``standing`` (q, i, standing) with ``rank``, the place of every item in its query's order.
+
+    The rows are divided into ranges of that order, over all queries at once, and written; ranks are taken within ranges, and shifted by the
+    sizes of the ranges before. So a query with most of the rows is ranked by many tasks. A range begins in the middle of at most one query, so
+    the shifts are at most as many as the ranges, and are broadcast.
+    """
+    order = [F.col("standing").desc(), F.col("i")]
+    d = keep(standing.repartitionByRange("q", *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy("q").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = d.groupBy("q", "__range").agg(F.count(F.lit(1)).alias("n")).withColumn("__shift", F.sum("n").over(before)).where(F.col("__shift").isNotNull()).drop("n")
+    here = F.row_number().over(Window.partitionBy("q", "__range").orderBy(*order))
+    out = d.withColumn("__here", here).join(F.broadcast(shift), ["q", "__range"], "left")
+    return out.select("q", "i", "standing", (F.col("__here") + F.coalesce("__shift", F.lit(0))).cast("int").alias("rank"))
+
+
+def leximin_rank(results: DataFrame, query: str, item: str, scores: dict[str, Column], k: int | None) -> DataFrame:
+    """The ``k`` items of each query that stand highest in leximin order, or with None all items: query, item, rank, standing.
 
     ``scores`` names the score columns; higher is better, a null score is below all others. Rows of the same item count once, with
     each score's greatest value. Rows with a null query or item are left out. Ties in all scores go to the smaller item. ``standing`` is the
@@ -85,12 +101,14 @@ def leximin_rank(results: DataFrame, query: str, item: str, scores: dict[str, Co
     long = d.select("q", "i", F.inline(F.array(*[F.struct(F.lit(n).alias("score_name"), F.col(f"s_{n}").alias("value")) for n in names])))
     p = percentiles(long, ["q", "score_name"], "value")
     standing = p.groupBy("q", "i").agg(F.sort_array(F.collect_list("pct")).alias("standing"))
+    if k is None:
+        return whole_ranks(standing).select(F.col("q").alias(query), F.col("i").alias(item), "rank", "standing")
     w = Window.partitionBy("q").orderBy(F.col("standing").desc(), F.col("i"))
     top = standing.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(F.col("q").alias(query), F.col("i").alias(item), "rank", "standing")
 
 
-def search_ranking(results: DataFrame, k: int = 5) -> DataFrame:
+def search_ranking(results: DataFrame, k: int | None = 5) -> DataFrame:
     """Leximin ranking of search results by the three scores of ``score_breakdown``. A null struct is three null scores."""
     s = {n: F.col(f"score_breakdown.{n}").cast("double") for n in ("bm25", "semantic", "graph")}
     return leximin_rank(results, "query_id", "node_id", s, k)

@@ -14,7 +14,7 @@ def p3_found(spark, d):
 
 def p3_ranking(spark, d):
     """The whole ranking: every item of every query."""
-    return leximin.search_ranking(table(spark, d, "search_results"), k=2**31 - 1)
+    return leximin.search_ranking(table(spark, d, "search_results"), k=None)
 
 
 def p4_found(spark, d):

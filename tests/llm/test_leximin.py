@@ -42,6 +42,8 @@ def test_equals_plain(spark, seed):
     rows = [(r.choice([1, 1, 1, 2, 3]), r.randrange(60), val(1), val(1000), val(1e-3), "x", 1) for _ in range(150)] + [(9, 5, None, None, None, "x", 1), (None, 1, 1.0, 1.0, 1.0, "x", 1)]
     got = leximin.leximin_rank(spark.createDataFrame(rows + rows[:9], SCHEMA), "q", "i", scores(), 5)
     assert sorted((x.q, x.i, x.rank) for x in got.collect()) == plain(rows, 5)
+    got = leximin.leximin_rank(spark.createDataFrame(rows + rows[:9], SCHEMA), "q", "i", scores(), None)
+    assert sorted((x.q, x.i, x.rank) for x in got.collect()) == plain(rows, None)
 
 
 def test_one_crowded_query(spark):
@@ -52,7 +54,20 @@ def test_one_crowded_query(spark):
     assert p.where(F.abs(F.col("pct") - F.col("value") / 2999) > 1e-12).count() == 0
 
 
+def test_a_crowded_query_is_ranked_in_ranges(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 5 == 0, F.col("id") % 7).otherwise(9).cast("long").alias("q"), F.col("id").alias("i"), F.xxhash64("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), F.lit(None).cast("double").alias("c"))
+    got = leximin.leximin_rank(df, "q", "i", scores(), None)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.q, []).append(r)
+    for rows in by.values():
+        rows.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+        assert rows == sorted(rows, key=lambda r: ([-x for x in r.standing], r.i))
+
+
 def test_empty(spark):
+    assert leximin.leximin_rank(spark.createDataFrame([], SCHEMA), "q", "i", scores(), None).count() == 0
     assert leximin.leximin_rank(spark.createDataFrame([], SCHEMA), "q", "i", scores(), 5).count() == 0
 
 
