@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +36,20 @@ SOURCE = rf"""
 \s*+ (?<doc> (?&blocked) | (?&lined) | (?&string) (?= [^\S\n]*+ ;? [^\S\n]*+ (?: \n | \Z ) ) )?+
 \s*+ (?<body> (?: {_PLAIN}++ | {_ITEM} | [)\]}}] )*+ ) \Z
 """
+#: Only the documentation, at the beginning of a body.
+HEAD = SOURCE.partition("\\A")[0] + r"""\s*+ (?<doc> (?&blocked) | (?&lined) | (?&string) (?= [^\S\n]*+ ;? [^\S\n]*+ (?: \n | \Z ) ) ) \s*+"""
 _compiled: dict = {}
 
 
 def take_apart(signature: str | None, body: str | None) -> tuple[str, str, str]:
     """(signature, documentation, body) of a function; the documentation is the comment or string at the very start of ``body``, or empty."""
-    import regex
-
     p = _compiled.setdefault("source", regex.compile(SOURCE, regex.X | regex.S))
     sig = " ".join((signature or "").split())
     m = p.match(sig + "\n" + (body or ""))
     if m is None:
-        return sig, "", body or ""
+        # what the pattern can't take apart has its documentation at its head all the same
+        h = _compiled.setdefault("head", regex.compile(HEAD, regex.X | regex.S)).match(body or "")
+        return (sig, h.group("doc"), body[h.end() :]) if h else (sig, "", body or "")
     return sig, m.group("doc") or "", m.group("body")
 
 
@@ -72,6 +75,8 @@ EMPTY_TALK = [
     r"v?\d+(?:\.\d+)+",
     r"(?:end)?region(?: [\w-]+){0,3}",
     r"\{@\w+[^}]*\}",
+    r"(?:for )?(?:internal|private)(?: use)?(?: only)?",
+    r"(?:deprecated|obsolete|legacy|unused|not used|self[- ]explanatory|obvious|magic)",
 ]
 #: Remarks with an open end. They are looked for in lines and sentences only, since what follows them may say something.
 REMARKS = [
@@ -93,8 +98,20 @@ HOLLOW = set(
     used uses use does do performs perform executes execute handles handle takes take taking accepts accept receives receive expects given gets get sets set
     parameter parameters param params argument arguments arg args input inputs output outputs return returns returned returning result yields
     type types kind object instance class self cls name named names value values async static public private protected internal
-    none null nil void bool boolean int integer float double str string list dict tuple any number array map optional error""".split()
+    none null nil void bool boolean int integer float double str string list dict tuple any number array map optional error true false
+    wrapper getter setter accessor mutator constructor destructor ctor dtor""".split()
+)
+#: The same in other languages: articles, prepositions, the words for function, parameter, value and result, and those for getting, setting, calling and returning.
+HOLLOW |= set(
+    """der die das den dem des ein eine einen einem eines ist sind wird werden und oder für von vom mit zum zur im aus ab auf an diese dieser dieses funktion methode ruft holt gibt liefert setzt ermittelt zurück
+    wert werte wertes parameter rückgabe rückgabewert ergebnis
+    le la les un une des du de est sont et ou pour par avec dans au aux ce cet cette fonction méthode retourne renvoie obtient récupère définit appelle valeur valeurs paramètre paramètres résultat retour
+    el los las una unos es son y o para por con en al del este esta función método devuelve obtiene retorna establece llama valor valores parámetro parámetros resultado
+    il lo gli uno di è sono e per con nel questa questo funzione metodo restituisce ottiene imposta chiama valore valori parametro parametri risultato
+    os um uma do da dos das são ou com em esta este função método retorna obtém define chama resultado""".split()
 )
+#: The same in scripts without blanks, longest first; a run of such letters says nothing if nothing else is in it.
+HOLLOW_RUNS = re.compile("|".join("返回值 戻り値 返り値 メソッド パラメータ 関数 函数 方法 参数 引数 返回 返す 获取 取得 设置 設定 调用 结果 結果 该 此 的 值 値 を の は が に です する 함수 메서드 반환 값 을 를".split()))
 _WHOLE, _TALK = (re.compile(r"\W*(?:" + "|".join(f"(?:{x})" for x in rules) + r")\W*", re.I | re.S) for rules in (EMPTY_TALK, EMPTY_TALK + REMARKS))
 _REMARK = re.compile(r"\W*(?:" + "|".join(f"(?:{x})" for x in REMARKS) + ")", re.I)
 _LISTED = re.compile(r"\b(?:takes|accepts|receives|with(?: the)? (?:parameters?|arguments?|args|params)|parameters?|arguments?|args|params)\b:?\s+((?:(?:the\s+)?[`'\"]?\w+[`'\"]?(?:\s*,\s*(?:and\s+)?|\s+and\s+|\s*&\s*)?)+)[.\s]*$", re.I)
@@ -113,7 +130,7 @@ _OPEN = re.compile(r"^[ \t]*(?:/\*[*!]*|<!--+|--\[=*\[|///?!?|//!|--+|#+!?|;+|%+
 _CLOSE = re.compile(r"[ \t]*(?:\*+/|--+>|\]=*\]|-\})[ \t]*$")
 _QUOTE = re.compile(r"^\s*[A-Za-z]{0,2}(\"{3}|'{3}|[\"'`])|(\"{3}|'{3}|[\"'`])\s*;?\s*$")
 _HTML = re.compile(r"</?(?:p|br|b|i|em|strong|code|pre|ul|ol|li|tt|div|span|h\d|summary|remarks|para|returns|param|a|see)\b[^<>]*>", re.I)
-_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+|\d+")
+_PARTS = regex.compile(r"[\p{Lu}\p{Lt}]+(?!\p{Ll})|[\p{Lu}\p{Lt}]?[\p{Ll}\p{M}]+|[\p{Lo}\p{Lm}\p{M}]+|\d+")
 
 
 def description(doc: str | None) -> str:
@@ -173,7 +190,7 @@ def _says(unit: str, known: set[str]) -> bool:
     m = _LISTED.search(unit)
     if m:
         unit = unit[: m.start()]
-    return any(w not in HOLLOW and not stems(w) & known for w in parts(unit) if not w.isdigit())
+    return any(w not in HOLLOW and not stems(w) & known and HOLLOW_RUNS.sub("", w) for w in parts(unit) if not w.isdigit())
 
 
 def says_something(doc: str | None, name: str | None, signature: str | None) -> bool:

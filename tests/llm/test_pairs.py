@@ -1,6 +1,7 @@
 """Documentation that says something, and taking functions apart."""
 
 import pytest
+import regex
 
 from sextant.llm import pairs
 
@@ -25,15 +26,18 @@ AFTER_REMARKS = [
     "@since 2.0\nReads the header and checks its checksum.", "Generated by the build. Reads the header and checks its checksum.", "Copyright of the authors.\n\nBlocks until the queue drains.", "noqa\nBlocks until the queue drains.",
 ]
 REMARKS = ["Owner: storage", "Author Jane Doe <jane@example.org>", "Ported from Java.", "copied from util/io.py", "Since version 2.1", "Added in v2 by Jane Doe", "# Added in change 678.", "Moved from core.cache in 3.0", "@deprecated use the other\none, which is cheaper", "Date 2024-01-02", "Generated by the build\nand never edited"]
+#: The name said again in other languages, and single labels.
+SAID_AGAIN = ["Ruft den Wert ab.", "Gibt den Rückgabewert zurück.", "Retourne la valeur.", "Obtiene el valor.", "Restituisce il valore.", "返回值", "値を返す", "Returns true.", "Wrapper.", "Deprecated.", "Internal use only.", "Getter for label."]
+TELLING_ELSEWHERE = ["Ruft den Wert nur beim ersten Zugriff ab.", "Retourne la valeur la plus récente.", "返回最后一次写入的值", "Since this is called on every frame, avoid allocation.", "Author rights are validated here before export.", "Deprecated: loses the last byte of odd streams.", "Returns true if the queue is empty."]
 SIGNATURE = "def fetch_label(self, marker, lookup) -> int"
 
 
-@pytest.mark.parametrize("doc", TRIVIAL + REMARKS)
+@pytest.mark.parametrize("doc", TRIVIAL + REMARKS + SAID_AGAIN)
 def test_trivial(doc):
     assert not pairs.says_something(doc, "fetch_label", SIGNATURE)
 
 
-@pytest.mark.parametrize("doc", TELLING + AFTER_REMARKS)
+@pytest.mark.parametrize("doc", TELLING + AFTER_REMARKS + TELLING_ELSEWHERE)
 def test_telling(doc):
     assert pairs.says_something(doc, "fetch_label", SIGNATURE)
 
@@ -49,6 +53,11 @@ def test_head(body, doc):
     assert pairs.take_apart("f()", body)[1] == doc
 
 
+def test_what_the_pattern_cannot_take_apart(monkeypatch):
+    monkeypatch.setitem(pairs._compiled, "source", regex.compile("(?!)"))
+    assert pairs.take_apart("f()", "// a\nreturn x;") == ("f()", "// a", "return x;") and pairs.take_apart("f()", "return") == ("f()", "", "return")
+
+
 def test_body_is_whole():
     body = '// d\nif (a("}")) { return "(" + b[1]; } // )\nnext("\\""); }'
     s, doc, rest = pairs.take_apart("void f()", body)
