@@ -184,18 +184,20 @@ class Part:
 
         return keep(self.docs.mapInArrow(post, "doc long, word int, positions array<int>"))
 
-    def alignments(self, postings: DataFrame) -> DataFrame:
-        """doc, at (item, shift): alignments of a document and an item at which two anchors stand.
+    def alignments(self, postings: DataFrame, enough: int) -> DataFrame:
+        """doc, at (item, shifts): alignments of a document and an item at which two anchors of a stretch stand, if they can hold ``enough`` words.
 
+        A run of an alignment goes at most RUN - 1 words beyond its first and last anchor, since a stretch further out would have anchors of its own.
         The anchors' places are those of this part's items, which is bounded, and are broadcast to the postings; a word with very many postings
         is therefore never grouped, only counted by document, item and offset.
         """
         rows = [(self.number[w], [(i, q) for i, q in at]) for w, at in self.places.items()]
         places = self.spark.createDataFrame(rows, "word int, places array<struct<item: long, place: int>>")
         hits = postings.join(F.broadcast(places), "word").select("doc", F.explode("places").alias("x"), "positions").select("doc", "x.item", "x.place", F.explode("positions").alias("p"))
-        # both anchors of a stretch stand at one offset: at least two places
-        aligned = hits.groupBy("doc", "item", (F.col("p") - F.col("place")).alias("shift")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
-        return keep(aligned.groupBy("doc").agg(F.collect_list(F.struct("item", "shift")).alias("at")))
+        aligned = hits.groupBy("doc", "item", (F.col("p") - F.col("place")).alias("shift")).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("a"), F.max("place").alias("b"))
+        aligned = aligned.where((F.col("n") > 2) | (F.col("n") == 2) & (F.col("b") - F.col("a") < RUN))
+        item = aligned.groupBy("doc", "item").agg(F.sum(F.col("b") - F.col("a") + 2 * RUN - 1).alias("most"), F.collect_list("shift").alias("shifts")).where(F.col("most") >= enough)
+        return keep(item.groupBy("doc").agg(F.collect_list(F.struct("item", "shifts")).alias("at")))
 
     def exact(self, enough: int) -> DataFrame:
         """doc, item, words: exact matches, word by word in the texts of documents with an alignment."""
@@ -206,13 +208,11 @@ class Part:
             for b in batches:
                 out = []
                 for k, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    w, by = words(t), defaultdict(list)
-                    for x in at:
-                        by[x["item"]].append(x["shift"])
-                    out += [(k, i, n) for i, s in by.items() if (n := c.count(w, i, s)) >= enough]
+                    w = words(t)
+                    out += [(k, x["item"], n) for x in at if (n := c.count(w, x["item"], x["shifts"])) >= enough]
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], (pa.int64(), pa.int64(), pa.int32())[j]) for j in range(3)], names=["doc", "item", "words"])
 
-        cand = self.alignments(self.postings())
+        cand = self.alignments(self.postings(), enough)
         few = cand.count() <= MAX_BROADCAST_DOCS
         # few documents with an alignment: their ids prune the scan and no text is shuffled but theirs; many: hashing them spares sorting the texts
         d = self.docs.join(F.broadcast(cand.select("doc")), "doc", "left_semi") if few else self.docs
