@@ -17,6 +17,10 @@ from sextant.session import cut, ship
 from sextant.sources import extract, files, git, requests
 
 
+#: Up to this many paths of changed files are broadcast to the reading of the tree.
+MAX_BROADCAST_FILES = 100_000
+
+
 class Engine:
     """One store and one session of questions.
 
@@ -35,25 +39,29 @@ class Engine:
 
     # building
 
-    def index(self, tree: DataFrame | None = None, commits: DataFrame | None = None) -> dict[str, int]:
+    def index(self, tree: DataFrame | None = None, commits: DataFrame | None = None, langs: list[str] | None = None, with_coupling: bool = True) -> dict[str, int]:
         """Build or update the index: counts of new, changed, deleted and unchanged files.
 
         Files are compared with the last snapshot by hash; only new and changed ones are read again. Their symbols and references replace the old
-        ones, those of deleted files go. Edges and sparse vectors are derived anew from all references and nodes, so that an update gives the same tables as a full build.
+        ones, those of deleted files go, and with the symbols that are gone the observations' links to them. Edges and sparse vectors are derived anew from all references and nodes, so that an update
+        gives the same tables as a full build; edges submitted from outside are merged again. ``langs`` are the languages to be read, None for all.
         """
         if not self.store.is_current_version() and self.store.current() is not None:
             self.store.reset()
         if tree is None:
             tree = files.read_tree(self.spark, self.root)
-        tree = cut(tree)
+        if langs is not None:
+            tree = tree.where(F.col("lang").isin(*langs))
+        # only paths and hashes of the whole tree are looked at; contents are read of new and changed files
+        seen = cut(tree.select("file_path", "content_hash"))
         old = self.store.read("file_cache")
-        j = tree.select("file_path", "content_hash").join(old.select("file_path", F.col("content_hash").alias("was")), "file_path", "full_outer")
+        j = seen.join(old.select("file_path", F.col("content_hash").alias("was")), "file_path", "full_outer")
         state = F.when(F.col("was").isNull(), "new").when(F.col("content_hash").isNull(), "deleted").when(F.col("was") != F.col("content_hash"), "changed").otherwise("unchanged")
         diff = cut(j.select("file_path", state.alias("state")))
         counts = {"new": 0, "changed": 0, "deleted": 0, "unchanged": 0} | {r.state: r["count"] for r in diff.groupBy("state").count().collect()}
         if not counts["new"] + counts["changed"] + counts["deleted"] and self.store.current() is not None:
             return counts
-        todo = tree.join(diff.where(F.col("state").isin("new", "changed")).select("file_path"), "file_path", "left_semi")
+        todo = tree.join(F.broadcast(diff.where(F.col("state").isin("new", "changed")).select("file_path")) if counts["new"] + counts["changed"] <= MAX_BROADCAST_FILES else diff.where(F.col("state").isin("new", "changed")).select("file_path"), "file_path", "left_semi")
         read = cut(extract.extract_symbols(todo))
         gone = diff.where(F.col("state") != "unchanged")
         kept = store.delete_files({n: self.store.read(n) for n in ("nodes", "call_refs", "file_cache")}, gone)
@@ -62,13 +70,18 @@ class Engine:
         refs = cut(kept["call_refs"].unionByName(extract.reference_rows(read)))
         now = F.lit(dt.datetime.now(dt.timezone.utc))
         cache = kept["file_cache"].unionByName(todo.select("file_path", "content_hash", now.alias("last_indexed_at")).join(read.select("file_path", F.size("symbols").alias("node_count")), "file_path").select(*kept["file_cache"].columns))
-        edges = graph.resolve_edges(refs, nodes).withColumn("id", F.xxhash64("source_id", "target_id", "type", F.coalesce("call_site_line", F.lit(-1))))
+        edges = self._edge_rows(graph.resolve_edges(refs, nodes))
+        if "lsp_edges" in self.store.meta().get("tables", {}):
+            edges = cut(edges)
+            edges = edges.unionByName(self._edge_rows(store.merge_external_edges(self.store.read("lsp_edges"), nodes, edges)))
         vocab, sparse = vectors.tfidf_fit(nodes, vectors.embedding_text(nodes))
         tables = {"nodes": nodes, "call_refs": refs, "file_cache": cache, "edges": edges, "import_refs": graph.import_references(refs), "node_embeddings": vectors.sparse_json(sparse), "tfidf_vocab": vocab}
         if self.encoder is not None:
             dense = self.store.read("node_embeddings_dense").join(fresh.select(F.col("id").alias("node_id")), "node_id", "left_anti").join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
             tables["node_embeddings_dense"] = dense.unionByName(vectors.dense_build(fresh, self.encoder))
-        if commits is None and self.root is not None:
+        if "observation_node_links" in self.store.meta().get("tables", {}):
+            tables["observation_node_links"] = self.store.read("observation_node_links").join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("observation_id", "node_id")
+        if commits is None and self.root is not None and with_coupling:
             commits = git.read_commits(self.spark, self.root)
         if commits is not None:
             commits = cut(commits)
@@ -77,6 +90,14 @@ class Engine:
         self.sent.clear()
         return counts
 
+    @staticmethod
+    def _edge_rows(edges: DataFrame) -> DataFrame:
+        """Edges with an id from their ends, type and line."""
+        if "call_site_line" not in edges.columns:
+            edges = edges.withColumn("call_site_line", F.lit(None).cast("int"))
+        e = edges.withColumn("id", F.xxhash64("source_id", "target_id", "type", F.coalesce("call_site_line", F.lit(-1))))
+        return e.select("id", "source_id", "target_id", "type", "call_site_line", "confidence")
+
     def reindex_if_due(self) -> dict[str, int] | None:
         """``index`` unless it ran within the last RECHECK_SECONDS or there is no source tree."""
         if self.root is None or time.monotonic() - self._checked < self.RECHECK_SECONDS:
@@ -144,9 +165,13 @@ class Engine:
         now = dt.datetime.now(dt.timezone.utc)
         new_id = uuid.uuid4().int & (2**62 - 1)
         row = self.spark.createDataFrame([(new_id, self.session_id, kind, content, now, source, 1.0, linked or [])], "id long, session_id string, type string, content string, created_at timestamp, source string, confidence double, linked array<string>")
-        o, l = memory.save_observations(self.table("observations"), self.table("observation_node_links"), self.table("nodes"), row)
-        sessions = store.insert_new(self.table("sessions"), self.spark.createDataFrame([(self.session_id, now, self.root)], "session_id string, started_at timestamp, workspace string"), ["session_id"])
-        self.store.commit({"observations": o, "observation_node_links": l, "sessions": sessions})
+        o, l = memory.new_observations(self.table("observations").columns, self.table("observation_node_links"), self.table("nodes"), row)
+        added = {"observations": o, "observation_node_links": l}
+        known = self.table("sessions")
+        session = self.spark.createDataFrame([(self.session_id, now, self.root)], "session_id string, started_at timestamp, workspace string")
+        if known.where(F.col("session_id") == self.session_id).isEmpty():
+            added["sessions"] = session.select(*known.columns)
+        self.store.commit({}, added=added)
         return new_id
 
     def search_memory(self, query: str, limit: int = 10, include_stale: bool = True, days: int | None = None, session: str | None = None) -> DataFrame:
@@ -160,9 +185,9 @@ class Engine:
         """Keep edges submitted from outside, and merge those whose ends are known into the graph."""
         rows = self.spark.createDataFrame([(e["source_fqn"], e["target_fqn"], e.get("edge_type", "CALLS")) for e in edges], "source_fqn string, target_fqn string, edge_type string")
         merged = cut(store.merge_external_edges(rows, self.table("nodes"), self.table("edges")))
-        new = merged.withColumn("call_site_line", F.lit(None).cast("int")).withColumn("id", F.xxhash64("source_id", "target_id", "type"))
-        lsp = store.insert_new(self.table("lsp_edges"), rows, ["source_fqn", "target_fqn", "edge_type"])
-        self.store.commit({"lsp_edges": lsp, "edges": self.table("edges").unionByName(new.select(*self.table("edges").columns))})
+        key = ["source_fqn", "target_fqn", "edge_type"]
+        fresh = rows.dropDuplicates(key).join(self.table("lsp_edges"), key, "left_anti").select(*self.table("lsp_edges").columns)
+        self.store.commit({}, added={"lsp_edges": fresh, "edges": self._edge_rows(merged).select(*self.table("edges").columns)})
         return {"submitted": len(edges), "merged": merged.count()}
 
     def resolve(self, names: list[str], file_hint: str | None = None, kind: str | None = None) -> DataFrame:

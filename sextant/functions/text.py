@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Accented letters and the letters they are searched as.
@@ -106,3 +106,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def savings_summary(t: DataFrame) -> DataFrame:
+    """One row over ours, base: average ratio and percentage, wins, totals, overall percentage."""
+    t = t.select("ours", "base", savings_ratio(F.col("base"), F.col("ours")).alias("ratio"), percent_saved(F.col("base"), F.col("ours")).alias("pct"))
+    overall = 100 * (1 - F.try_divide(F.sum("ours").cast("double"), F.sum("base").cast("double")))
+    return t.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ratio"), 6).alias("avg_ratio"), F.round(F.avg("pct"), 6).alias("avg_pct"), F.count_if(F.col("ours") < F.col("base")).alias("wins"), F.sum("ours").alias("ours"), F.sum("base").alias("base"), F.round(overall, 6).alias("overall_pct"))

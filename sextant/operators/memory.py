@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from sextant.operators import lexical
 
 
-def save_observations(observations: DataFrame, links: DataFrame, nodes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(observations, links) with ``new`` appended: id, session_id, type, content, created_at, source, confidence, linked (FQNs). Unknown FQNs make no link."""
-    o = observations.unionByName(new.select(*[c for c in observations.columns if c != "stale"], F.lit(False).alias("stale")) if "stale" in observations.columns else new.select(*observations.columns))
+def new_observations(columns: list[str], links: DataFrame, nodes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations, links) that ``new`` adds: id, session_id, type, content, created_at, source, confidence, linked (FQNs). Unknown FQNs make no link."""
+    o = new.withColumn("stale", F.lit(False)).select(*columns)
     l = new.select(F.col("id").alias("observation_id"), F.explode("linked").alias("fqn")).join(nodes.select("fqn", F.col("id").alias("node_id")), "fqn").select("observation_id", "node_id").distinct()
-    return o, links.unionByName(l.join(links, ["observation_id", "node_id"], "left_anti"))
+    return o, l.join(links, ["observation_id", "node_id"], "left_anti")
+
+
+def save_observations(observations: DataFrame, links: DataFrame, nodes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations, links) with ``new_observations`` appended."""
+    o, l = new_observations(observations.columns, links, nodes, new)
+    return observations.unionByName(o), links.unionByName(l)
 
 
 def auto_observation(tool: str, summary: str) -> str:
@@ -20,6 +26,11 @@ def auto_observation(tool: str, summary: str) -> str:
     return f"[{tool}] {summary[:200]}"
 
 
+def auto_observations(calls: DataFrame, tool: str, summary: str) -> DataFrame:
+    """The same for a table of calls, as a column ``content``."""
+    return calls.withColumn("content", F.concat(F.lit("["), tool, F.lit("] "), F.substring(summary, 1, 200)))
+
+
 def search_memory(observations: DataFrame, query: str, limit: int = 10, include_stale: bool = True, since=None, session: str | None = None) -> DataFrame:
     """id, content, type, created_at, stale, confidence, score: observations by BM25 of their content, fresh ones first. ``since`` is a timestamp column or value."""
     hits = lexical.bm25_search(observations, query, {"content": 1.0}, limit=None)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,19 +13,15 @@ from pyspark.sql import functions as F
 from sextant.schemas import SCHEMA_VERSION, TABLES
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: list[str], order: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def upsert(existing: DataFrame, new: DataFrame, key: list[str], order: str, keep: list[str] | None = None) -> DataFrame:
     """Rows of ``existing`` replaced by rows of ``new`` with the same key, and the other new rows.
 
-    Of several new rows with one key the last by ``order`` counts. Columns in ``keep`` (such as repo_alias) keep the existing
+    Of several new rows with one key the last by ``order`` counts; without an order none would be the last. Columns in ``keep`` (such as repo_alias) keep the existing
     row's value. Null keys are ordinary values that equal nothing, so such rows are all kept.
     """
     cols = existing.columns
-    if order is not None:
-        w = Window.partitionBy(*key).orderBy(F.col(order).desc())
-        new = new.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r")
-    else:
-        new = new.dropDuplicates(key)
-    new = new.select(*cols)
+    w = Window.partitionBy(*key).orderBy(F.col(order).desc())
+    new = new.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r").select(*cols)
     if keep:
         old = existing.select(*key, *[F.col(c).alias(f"__{c}") for c in keep]).dropDuplicates(key)
         new = new.join(old, key, "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in keep else c for c in cols])
@@ -64,7 +62,8 @@ def merge_external_edges(lsp: DataFrame, nodes: DataFrame, edges: DataFrame) ->
 class Store:
     """A folder of snapshots. A snapshot becomes current when its small marker, which names version and tables, has been written.
 
-    A reader sees one snapshot throughout; a writer that fails leaves the last one current. An older layout version is reported, and recreated only on request.
+    A reader sees one snapshot throughout; a writer that fails leaves the last one current. Of two writers that commit at once one finds the number of its snapshot taken and
+    takes the next, on top of the other's, so none is lost. An older layout version is reported, and recreated only on request.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -75,38 +74,72 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(os.path.join(self.path, *parts))
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> int | None:
+    def _numbers(self) -> list[int]:
         p, fs = self._hadoop()
         if not fs.exists(p):
+            return []
+        return sorted((int(s.getPath().getName()[5:-5]) for s in fs.listStatus(p) if re.fullmatch(r"meta-\d+\.json", s.getPath().getName())), reverse=True)
+
+    def _marker(self, n: int) -> dict | None:
+        """The marker of a snapshot; None while its writer hasn't ended."""
+        try:
+            return json.loads(self.spark.read.text(os.path.join(self.path, f"meta-{n}.json"), wholetext=True).first()[0])
+        except (TypeError, ValueError):
             return None
-        return max((int(s.getPath().getName()[5:-5]) for s in fs.listStatus(p) if s.getPath().getName().startswith("meta-")), default=None)
+
+    def _latest(self) -> tuple[int, dict] | None:
+        return next(((n, m) for n in self._numbers() if (m := self._marker(n)) is not None), None)
+
+    def current(self) -> int | None:
+        now = self._latest()
+        return now and now[0]
 
     def meta(self) -> dict:
-        n = self.current()
-        return {} if n is None else json.loads(self.spark.read.text(os.path.join(self.path, f"meta-{n}.json"), wholetext=True).first()[0])
+        now = self._latest()
+        return now[1] if now else {}
 
     def is_current_version(self) -> bool:
         return self.meta().get("schema_version") == SCHEMA_VERSION
 
     def read(self, name: str) -> DataFrame:
         """A table of the current snapshot; an empty one where it was never written."""
-        m = self.meta()
-        if name in m.get("tables", {}):
-            return self.spark.read.parquet(os.path.join(self.path, m["tables"][name]))
+        parts = self.meta().get("tables", {}).get(name)
+        if parts:
+            return self.spark.read.parquet(*[os.path.join(self.path, x) for x in parts])
         return self.spark.createDataFrame([], TABLES[name])
 
-    def commit(self, tables: dict[str, DataFrame], extra: dict | None = None) -> int:
-        """Write tables as a new snapshot; tables not named stay as they are."""
-        n = (self.current() or 0) + 1
-        meta = {"schema_version": SCHEMA_VERSION, "tables": dict(self.meta().get("tables", {})), **(extra or {})}
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(os.path.join(self.path, f"snapshot-{n}", name))
-            meta["tables"][name] = f"snapshot-{n}/{name}"
+    def _take(self, n: int, meta: dict) -> bool:
+        """Write the marker of snapshot ``n`` unless there is one."""
         p, fs = self._hadoop(f"meta-{n}.json")
-        out = fs.create(p, True)
+        if fs.exists(p):
+            return False
+        try:
+            out = fs.create(p, False)
+        except Exception as x:  # noqa: BLE001 - the file system's own exceptions come wrapped
+            if "exist" in str(x).lower():
+                return False
+            raise
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        return n
+        return True
+
+    def commit(self, tables: dict[str, DataFrame], extra: dict | None = None, added: dict[str, DataFrame] | None = None) -> int:
+        """Write a new snapshot: ``tables`` in place of what they were, the rows of ``added`` to what there is, all others as they are.
+
+        Added rows are files of their own, so that adding costs what is added.
+        """
+        folder = f"snapshot-{uuid.uuid4()}"
+        for name, df in {**tables, **{f"{k}+": v for k, v in (added or {}).items()}}.items():
+            df.write.parquet(os.path.join(self.path, folder, name))
+        while True:
+            now = self._latest()
+            n, before = (now[0] + 1, now[1].get("tables", {})) if now else (1, {})
+            n = max([n, *(x + 1 for x in self._numbers())])
+            after = {**before, **{name: [f"{folder}/{name}"] for name in tables}}
+            for name in added or {}:
+                after[name] = [*after.get(name, []), f"{folder}/{name}+"]
+            if self._take(n, {"schema_version": SCHEMA_VERSION, "tables": after, **(extra or {})}):
+                return n
 
     def reset(self) -> None:
         """Forget all snapshots."""

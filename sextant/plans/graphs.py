@@ -10,7 +10,7 @@ from sextant.operators import capsule, coupling, graph, lexical, memory, store
 from sextant.plans import views
 from sextant.plans.problems import RUNS
 from sextant.plans.registry import Registry
-from sextant.plans.relational import savings_summary
+from sextant.functions.text import savings_summary
 from sextant.plans.retrieval import BM25, HYBRID, index
 from sextant.plans.views import QUERY
 from sextant.session import cut, table
@@ -215,7 +215,7 @@ def g13(s, d):
 def k01(s, d):
     n = table(s, d, "nodes").select("fqn", "kind", "repo_alias", F.col("deleted_at").isNotNull().alias("gone"))
     new = n.where("gone").drop("gone").unionByName(table(s, d, "library_nodes").select("fqn", "kind", "repo_alias")).select("fqn", F.upper("kind").alias("kind"), F.lit("moved").alias("repo_alias"))
-    return store.upsert(n.drop("gone"), new, ["fqn"], keep=["repo_alias"])
+    return store.upsert(n.drop("gone"), new.withColumn("written", F.lit(1)), ["fqn"], order="written", keep=["repo_alias"])
 
 
 @q("K02_replace_newest", "SELECT node_id, arg_max(vector_json, (updated_at, vector_json)) AS vector_json FROM node_embeddings WHERE vector_json IS NOT NULL GROUP BY 1")

@@ -234,14 +234,7 @@ FROM (SELECT *, round(base / ours::DOUBLE, 2) AS ratio, round(100 * (1 - ours /
 @q("A09_savings_summary", SUMMARY)
 def a09(s, d):
     t = table(s, d, "nodes").select(tx.approx_tokens(F.coalesce("signature", F.lit(""))).alias("ours"), tx.approx_tokens(F.coalesce("body_preview", F.lit(""))).alias("base"))
-    return savings_summary(t)
-
-
-def savings_summary(t):
-    """One row over ours, base: average ratio and percentage, wins, totals, overall percentage."""
-    t = t.select("ours", "base", tx.savings_ratio(F.col("base"), F.col("ours")).alias("ratio"), tx.percent_saved(F.col("base"), F.col("ours")).alias("pct"))
-    overall = 100 * (1 - F.try_divide(F.sum("ours").cast("double"), F.sum("base").cast("double")))
-    return t.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ratio"), 6).alias("avg_ratio"), F.round(F.avg("pct"), 6).alias("avg_pct"), F.count_if(F.col("ours") < F.col("base")).alias("wins"), F.sum("ours").alias("ours"), F.sum("base").alias("base"), F.round(overall, 6).alias("overall_pct"))
+    return tx.savings_summary(t)
 
 
 @q("A10_best_per_fqn", "SELECT node_id, score, query_id FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC NULLS LAST, query_id) AS r FROM search_results) WHERE r = 1")

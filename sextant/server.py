@@ -16,6 +16,45 @@ from sextant.operators.memory import auto_observation
 PRESETS = {"auto": ("impact",), "explore": ("memory",), "modify": ("impact",), "debug": ("impact", "memory"), "refactor": ("impact", "memory")}
 
 
+def _one(kind: str, says: str, *choice: str) -> dict:
+    return {"type": kind, "description": says} | ({"enum": list(choice)} if choice else {})
+
+
+def _many(says: str, *choice: str) -> dict:
+    return {"type": "array", "description": says, "items": {"type": "string"} | ({"enum": list(choice)} if choice else {})}
+
+
+CODE = _one("string", "A few lines of code like what is looked for; they stand for the question where meaning is compared, words are still taken from the question")
+#: Description, parameters and required parameters of each tool.
+SCHEMAS = {
+    "run_pipeline": ("Context for a task, then what its preset adds: dependents of the best match, observations; or the given steps one after the other.", {
+        "task": _one("string", "What is to be done"), "hypothetical_code": CODE, "preset": _one("string", "What is added to the context; auto by default", "auto", "explore", "modify", "debug", "refactor"),
+        "max_tokens": _one("number", "Budget of tokens, 10000 by default"), "observation": _one("string", "Kept as an observation"),
+        "steps": {"type": "array", "description": "Steps in place of a preset", "items": {"type": "object", "properties": {"tool": _one("string", "The step", "capsule", "impact", "flow", "skeleton", "memory_search", "save_observation"), "params": {"type": "object"}}, "required": ["tool"]}},
+    }, ["task"]),
+    "get_context_capsule": ("Symbols for a question with their callers, callees, importers and files that change with them, within a budget. What was sent in this session isn't sent again.", {
+        "query": _one("string", "The question"), "hypothetical_code": CODE, "max_tokens": _one("number", "Budget of tokens, 8000 by default"), "pivot_depth": _one("number", "Hops in the call graph, 2 by default"),
+    }, ["query"]),
+    "get_impact_graph": ("Everything that depends on a symbol, directly or through others.", {
+        "symbol_fqn": _one("string", "The symbol's qualified name"), "depth": _one("number", "Levels, 5 by default"), "format": _one("string", "Form of the answer; tree by default", "list", "tree", "mermaid"), "cross_repo": _one("boolean", "Follow references from other repositories"),
+    }, ["symbol_fqn"]),
+    "search_logic_flow": ("Paths of calls from one symbol to another.", {"start": _one("string", "Qualified name of the first symbol"), "end": _one("string", "Qualified name of the last symbol"), "max_paths": _one("number", "Paths, 3 by default")}, ["start", "end"]),
+    "get_skeleton": ("Files by their symbols' signatures, without bodies.", {"files": _many("Paths"), "detail": _one("string", "How much of each symbol; standard by default", "minimal", "standard", "detailed")}, ["files"]),
+    "index_status": ("Numbers of nodes, edges, files and vectors in the index.", {}, []),
+    "get_session_context": ("Observations of this session, newest first.", {"include_previous": _one("boolean", "Those of earlier sessions too"), "max_results": _one("number", "At most so many, 20 by default"), "types": _many("Only these types", "tool_call", "insight", "decision", "error", "manual")}, []),
+    "save_observation": ("Keep an observation, with links to the symbols it is about.", {"content": _one("string", "The observation"), "type": _one("string", "Its type; insight by default", "insight", "decision", "error"), "linked_symbols": _many("Qualified names")}, ["content"]),
+    "search_memory": ("Observations of all sessions by their words.", {"query": _one("string", "The words"), "max_results": _one("number", "At most so many, 10 by default"), "include_stale": _one("boolean", "Stale ones too; true by default"), "time_range_days": _one("number", "Only of the last so many days"), "session_filter": _one("string", "Only of this session")}, ["query"]),
+    "submit_lsp_edges": ("Add edges that a language server has resolved.", {"edges": {"type": "array", "description": "The edges", "items": {"type": "object", "properties": {"source_fqn": _one("string", "From"), "target_fqn": _one("string", "To"), "edge_type": _one("string", "CALLS by default"), "language": _one("string", "Language of the source")}, "required": ["source_fqn", "target_fqn"]}}}, ["edges"]),
+    "resolve_symbols": ("Indexed symbols for names or parts of qualified names.", {"names": _many("The names"), "file_hint": _one("string", "Only in files with this in their path"), "kind": _one("string", "Only of this kind, such as function, class or method")}, ["names"]),
+    "workspace_setup": ("Choose the source tree that is indexed.", {"workspace_root": _one("string", "Its root")}, []),
+}
+
+
+def tool_list() -> list[dict]:
+    """All tools as ``tools/list`` gives them."""
+    return [{"name": n, "description": says, "inputSchema": {"type": "object", "properties": p, "required": need}} for n, (says, p, need) in SCHEMAS.items()]
+
+
 class Tools:
     """Tools by name; each takes a dict of parameters and returns text."""
 
@@ -142,7 +181,7 @@ class Server:
         if method == "ping":
             return ok({})
         if method == "tools/list":
-            return ok({"tools": [{"name": n, "description": (f.__doc__ or n).strip(), "inputSchema": {"type": "object"}} for n, f in self.tools.by_name.items()]})
+            return ok({"tools": tool_list()})
         if method != "tools/call" or p.get("name") not in self.tools.by_name:
             return {"jsonrpc": "2.0", "id": key, "error": {"code": -32601, "message": f"unknown method or tool: {p.get('name') or method}"}}
         began, text, error = time.monotonic(), "", None

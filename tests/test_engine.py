@@ -85,13 +85,84 @@ def test_server(engine):
 
 def test_benchmark(engine):
     from sextant.cli import benchmark
-    from sextant.plans.relational import savings_summary
+    from sextant.functions.text import savings_summary
 
     rows = benchmark(engine, [("add numbers", ["add_numbers"], "math_ops.py"), ("helper", ["helper"], "no such place")], 300)
     assert [r.recalled for r in rows.orderBy("query").collect()] == [True, False]
     assert savings_summary(rows).first().n == 2
 
 
+def test_command_line(engine, project, capsys, tmp_path):
+    from sextant import cli
+
+    base = ["--root", str(project)]
+    for words, want in ((["search", "add numbers"], "add_numbers"), (["ask", "add numbers", "--limit", "1"], "Direct matches"), (["status"], "nodes"), (["show-config"], "mcpServers")):
+        assert cli.main(base + words, engine) == 0 and want in capsys.readouterr().out
+    out = io.StringIO()
+    cli.ask_on(engine, io.StringIO("helper\nquit\nnever"), out, 50, 4000)
+    assert out.getvalue().count("# Context for") == 1
+    (tmp_path / ".mcp.json").write_text('{"mcpServers": {"other": {}}, "x": 1}')
+    cli.setup(str(tmp_path))
+    cli.setup(str(tmp_path))
+    assert set(json.loads((tmp_path / ".mcp.json").read_text())["mcpServers"]) == {"other", "sextant"}
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "requests_a.jsonl").write_text('{"tool": "index_status", "preview": "seen", "session": "a"}\n')
+    for words, shown in ((["logs"], False), (["logs", "-v"], True)):
+        assert cli.main([*base, "--store", str(tmp_path), *words], engine) == 0
+        assert ("preview=seen" in capsys.readouterr().out) is shown
+
+
+def test_languages_and_coupling_can_be_left_out(spark, project, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), str(project))
+    assert e.index(langs=["go"], with_coupling=False)["new"] == 0
+    assert e.index(langs=["python"], with_coupling=False)["new"] == 3 and "file_lineage" not in e.store.meta()["tables"]
+
+
+def test_what_was_submitted_and_linked_outlives_updates(spark, project, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), str(project))
+    e.index()
+    e.submit_edges([{"source_fqn": "utils.py::_hidden", "target_fqn": "math_ops.py::checked"}])
+    e.save_observation("kept", linked=["math_ops.py::checked", "tests/test_math.py::test_add"])
+    n = e.table("edges").count()
+    gone = (project / "tests/test_math.py").read_text()
+    try:
+        (project / "new_one.py").write_text("def newest():\n    return 1\n")
+        (project / "tests/test_math.py").unlink()
+        e.index()
+        ids = {r.fqn: r.id for r in e.table("nodes").collect()}
+        assert (ids["utils.py::_hidden"], ids["math_ops.py::checked"]) in {(r.source_id, r.target_id) for r in e.table("edges").collect()}
+        assert [r.node_id for r in e.table("observation_node_links").collect()] == [ids["math_ops.py::checked"]]
+        assert e.table("edges").count() < n + 1
+    finally:
+        (project / "new_one.py").unlink()
+        (project / "tests/test_math.py").write_text(gone)
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    from sextant.operators.store import Store
+
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    row = lambda n: spark.createDataFrame([(f"s{n}", None, "w")], "session_id string, started_at timestamp, workspace string")
+    a.commit({"sessions": row(0)})
+    before, take = a._latest(), a._take
+    # b commits after a has read what is current
+    a._latest = lambda: before if not b.done else Store._latest(a)
+    b.done = False
+    a._take = lambda n, meta: (b.commit({}, added={"sessions": row(2)}), setattr(b, "done", True), False)[2] if not b.done else take(n, meta)
+    a.commit({}, added={"sessions": row(1)})
+    assert sorted(r.session_id for r in Store(spark, a.path).read("sessions").collect()) == ["s0", "s1", "s2"]
+    assert not a._take(1, {})
+
+
+def test_tool_schemas(engine):
+    from sextant.server import SCHEMAS
+
+    assert set(SCHEMAS) == set(Tools(engine).by_name)
+    for says, parameters, required in SCHEMAS.values():
+        assert says and set(required) <= set(parameters) and all(p["description"] and p["type"] for p in parameters.values())
+
+
 def test_encoders():
     from sextant.operators import vectors
 

@@ -29,8 +29,8 @@ def test_python():
         ("go", "package x\n// Do it.\nfunc Do(a int) error { return run(a) }\nfunc (s *Srv) hid() { s.Call() }\ntype S struct { a int }\n", {"Do": "function", "(Srv).hid": "method", "S": "struct"}, {("Do", "run"), ("(Srv).hid", "Call")}),
         ("rust", "use std::io;\npub fn mk() -> bool { other() }\nstruct P;\nimpl P { fn area(&self) -> i32 { calc(self.x) } }\n", {"mk": "function", "P": "struct", "P.area": "method"}, {("mk", "other"), ("P.area", "calc"), ("__module__", "std::io")}),
         ("java", "import a.b.C;\npublic class Foo { public int bar(String s) { return baz(s); } }\n", {"Foo": "class", "Foo.bar": "method"}, {("Foo.bar", "baz"), ("__module__", "a.b.C")}),
-        ("cpp", "class A { public: int get(int x) { return calc(x); } };\nint A::put() { return go_on(1); }\n", {"A": "class", "A::get": "method", "A::put": "function"}, {("A::get", "calc"), ("A::put", "go_on")}),
-        ("swift", "class V { var t: Int { return 1 }\n func walk(a: Int) -> Bool { return run(a) }\n init(x: Int) { }\n}\nenum E { case one\n case two(Int) }\n", {"V": "class", "V.t": "property", "V.walk": "method", "V.init": "init", "E.one": "enum_case", "E.two": "enum_case"}, {("V.walk", "run")}),
+        ("cpp", "class A { public: int get(int x) { return calc(x); } };\nint A::put() { return go_on(1); }\n", {"A": "class", "A::get": "method", "A::put": "method"}, {("A::get", "calc"), ("A::put", "go_on")}),
+        ("swift", "class V { var t: Int { return 1 }\n func walk(a: Int) -> Bool { return run(a) }\n init(x: Int) { }\n}\nenum E { case one\n case two(Int) }\n", {"V": "class", "V.t": "property", "V.walk": "method", "V.init": "method", "E.one": "enum_case", "E.two": "enum_case"}, {("V.walk", "run")}),
         ("lua", "-- adds\nfunction M.add(a)\n  if a then return walk(a) end\nend\n", {"M.add": "function"}, {("M.add", "walk")}),
         ("bash", "foo() {\n  x\n}\n", {"foo": "function"}, set()),
         ("r", "add <- function(x) {\n  walk(x)\n}\n", {"add": "function"}, {("add", "walk")}),
