@@ -126,19 +126,25 @@ class Store:
     def commit(self, tables: dict[str, DataFrame], extra: dict | None = None, added: dict[str, DataFrame] | None = None) -> int:
         """Write a new snapshot: ``tables`` in place of what they were, the rows of ``added`` to what there is, all others as they are.
 
-        Added rows are files of their own, so that adding costs what is added.
+        Added rows are files of their own, so that adding costs what is added. The marker has the number of rows of every table.
         """
         folder = f"snapshot-{uuid.uuid4()}"
+        rows = {}
         for name, df in {**tables, **{f"{k}+": v for k, v in (added or {}).items()}}.items():
-            df.write.parquet(os.path.join(self.path, folder, name))
+            path = os.path.join(self.path, folder, name)
+            df.write.parquet(path)
+            # from the files' footers
+            rows[name] = self.spark.read.schema(df.schema).parquet(path).count()
         while True:
             now = self._latest()
-            n, before = (now[0] + 1, now[1].get("tables", {})) if now else (1, {})
+            n, before, held = (now[0] + 1, now[1].get("tables", {}), now[1].get("rows", {})) if now else (1, {}, {})
             n = max([n, *(x + 1 for x in self._numbers())])
             after = {**before, **{name: [f"{folder}/{name}"] for name in tables}}
+            counts = {**held, **{name: rows[name] for name in tables}}
             for name in added or {}:
                 after[name] = [*after.get(name, []), f"{folder}/{name}+"]
-            if self._take(n, {"schema_version": SCHEMA_VERSION, "tables": after, **(extra or {})}):
+                counts[name] = counts.get(name, 0) + rows[f"{name}+"]
+            if self._take(n, {"schema_version": SCHEMA_VERSION, "tables": after, "rows": counts, **(extra or {})}):
                 return n
 
     def reset(self) -> None:

@@ -200,6 +200,15 @@ def g11(s, d):
     return capsule.co_change_entries(ix, cut(_seed_files(s, d)), 2000).select("fqn", F.round("score", 6).alias("score"))
 
 
+@q("R06_role_scores", f"WITH {views.COMMITS_SQL}, {BM25}, {SEED_FILES}, {MODULES}, {IMPORTERS}, {CO_CHANGE} SELECT fqn, 'importer' AS role, 0.3::DOUBLE AS score FROM imp UNION ALL SELECT fqn, 'co_change', round(s, 6) FROM cou WHERE used <= 2000")
+def r06(s, d):
+    """The scores that the capsule gives by role: a fixed one to importers, the coupling to files that change together."""
+    c = views.commits(s, d)
+    ix = capsule.Index(table(s, d, "nodes"), table(s, d, "edges"), table(s, d, "import_refs"), coupling=cut(coupling.coupling(c, 2)))
+    f = cut(_seed_files(s, d))
+    return capsule.importer_entries(ix, f, 1600).unionByName(capsule.co_change_entries(ix, f, 2000)).select("fqn", "role", F.round("score", 6).alias("score"))
+
+
 @q("G12_coupling", "WITH c AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS f FROM lineitem), n AS (SELECT f, count(*) AS n FROM c GROUP BY 1), p AS (SELECT a.f AS fa, b.f AS fb, count(*) AS s FROM c a JOIN c b ON a.k = b.k AND a.f < b.f GROUP BY ALL HAVING count(*) >= 4) SELECT fa AS file_a, fb AS file_b, round(s / greatest(x.n, y.n)::DOUBLE, 6) AS coupling_score, s::BIGINT AS shared_commits FROM p JOIN n x ON x.f = fa JOIN n y ON y.f = fb")
 def g12(s, d):
     c = table(s, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("file_path"))
@@ -220,8 +229,12 @@ def k01(s, d):
 
 @q("K02_replace_newest", "SELECT node_id, arg_max(vector_json, (updated_at, vector_json)) AS vector_json FROM node_embeddings WHERE vector_json IS NOT NULL GROUP BY 1")
 def k02(s, d):
+    """What was delivered until the middle of the time is there already, later rows replace it."""
     e = table(s, d, "node_embeddings").where(F.col("vector_json").isNotNull()).withColumn("v", F.struct("updated_at", "vector_json"))
-    return store.upsert(e.where(F.lit(False)), e, ["node_id"], order="v").select("node_id", "vector_json")
+    t = e.agg(((F.unix_micros(F.min("updated_at")) + F.unix_micros(F.max("updated_at"))) / 2).cast("long")).first()[0]
+    late = F.unix_micros("updated_at") > F.lit(t)
+    there = store.upsert(e.where(F.lit(False)), e.where(~late), ["node_id"], order="v")
+    return store.upsert(there, e.where(late), ["node_id"], order="v").select("node_id", "vector_json")
 
 
 @q("K03_distinct_edges", "SELECT source_id, target_id, type, call_site_line, min(id) AS id, max(confidence) AS confidence FROM edges GROUP BY ALL")
@@ -236,16 +249,17 @@ def k04(s, d):
     return out["edges"].select("id")
 
 
-@q("K08_observation_links", f"WITH {views.OBSERVATIONS_SQL} SELECT o.id AS observation_id, n.id AS node_id FROM observations o JOIN nodes n ON n.fqn = o.session_id || '::none' UNION SELECT observation_id, node_id FROM links")
+@q("K08_observation_links", f"WITH {views.OBSERVATIONS_SQL} SELECT o.id AS observation_id, n.id AS node_id FROM observations o JOIN nodes n ON n.id = o.id + 1001 WHERE n.fqn IS NOT NULL UNION SELECT observation_id, node_id FROM links")
 def k08(s, d):
-    new = views.observations(s, d).withColumn("linked", F.array(F.concat("session_id", F.lit("::none"))))
-    return memory.save_observations(views.observations(s, d), views.links(s, d), table(s, d, "nodes"), new)[1]
+    """Every observation is linked to one more node by its FQN, and to one that isn't there; the links of before stay."""
+    n, o = table(s, d, "nodes"), views.observations(s, d)
+    new = o.join(n.select((F.col("id") - 1001).alias("id"), "fqn"), "id", "left").withColumn("linked", F.array_compact(F.array("fqn", F.concat("session_id", F.lit("::none"))))).drop("fqn")
+    return memory.save_observations(o, views.links(s, d), n, new)[1]
 
 
 @q("K09_auto_observation", "SELECT event_id, substring('[' || event_type || '] ' || props, 1, 200 + length(event_type) + 3) AS content FROM events")
 def k09(s, d):
-    e = table(s, d, "events")
-    return e.select("event_id", F.concat(F.lit("["), "event_type", F.lit("] "), F.substring("props", 1, 200)).alias("content"))
+    return memory.auto_observations(table(s, d, "events"), "event_type", "props").select("event_id", "content")
 
 
 @q("K10_external_edges", f"WITH {views.LSP_SQL} SELECT DISTINCT s.id AS source_id, t.id AS target_id, l.edge_type AS type, 1.0::DOUBLE AS confidence FROM lsp l JOIN nodes s ON s.fqn = l.source_fqn JOIN nodes t ON t.fqn = l.target_fqn WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_id = s.id AND e.target_id = t.id AND e.type = l.edge_type)")
@@ -258,10 +272,12 @@ def k11(s, d):
     return memory.log_entry(table(s, d, "events").select("event_id", F.col("props").alias("result")))
 
 
-@q("K15_new_sessions", f"WITH {views.OBSERVATIONS_SQL} SELECT DISTINCT session_id FROM observations")
+@q("K15_new_sessions", f"WITH {views.OBSERVATIONS_SQL}, k AS (SELECT session_id, min(created_at) AS since FROM observations WHERE stale GROUP BY 1) SELECT session_id, since FROM k UNION ALL SELECT session_id, NULL FROM (SELECT DISTINCT session_id FROM observations) WHERE session_id NOT IN (SELECT session_id FROM k WHERE session_id IS NOT NULL) AND session_id IS NOT NULL")
 def k15(s, d):
-    o = views.observations(s, d).select("session_id")
-    return store.insert_new(o.where(F.lit(False)), o, ["session_id"])
+    """Sessions with a stale observation are known, with their time; all others are added without one."""
+    o = views.observations(s, d).where(F.col("session_id").isNotNull())
+    known = o.where("stale").groupBy("session_id").agg(F.min("created_at").alias("since"))
+    return store.insert_new(known, o.select("session_id", F.lit(None).cast("timestamp").alias("since")), ["session_id"])
 
 
 @q("S02_excluded_dirs", f"SELECT DISTINCT file_path, len(list_intersect(string_split(file_path, '/'), [{', '.join(repr(x) for x in [*files.EXCLUDED_DIRS, 'tests'])}])) > 0 AS excluded FROM nodes")
@@ -289,9 +305,16 @@ def s09(s, d):
     return table(s, d, "documents").select("doc_id", files.content_hash(F.col("text")).alias("hash"))
 
 
-@q("S12_source_slice", "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS lines FROM documents WHERE text IS NOT NULL")
+S12 = """WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l, (1 + doc_id % 4)::INT AS a, CASE WHEN doc_kind = 'issue' THEN NULL ELSE (1 + doc_id % 4 + doc_id % 7)::INT END AS b FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(l[a:coalesce(b, a + 59)], chr(10)) AS lines FROM t"""
+
+
+@q("S12_source_slice", S12)
 def s12(s, d):
-    return table(s, d, "documents").where(F.col("text").isNotNull()).select("doc_id", files.source_slice(F.col("text"), F.lit(2), F.lit(4)).alias("lines"))
+    """Slices of different places and lengths, of issues to the default length."""
+    t = table(s, d, "documents").where(F.col("text").isNotNull())
+    start, end = (1 + F.col("doc_id") % 4).cast("int"), F.when(F.col("doc_kind") == "issue", None).otherwise((1 + F.col("doc_id") % 4 + F.col("doc_id") % 7).cast("int"))
+    return t.select("doc_id", files.source_slice(F.col("text"), start, end).alias("lines"))
 
 
 @q("S15_tool_calls", "SELECT event_id, event_type AS tool, value AS elapsed_ms FROM events WHERE event_type IS NOT NULL")
@@ -327,22 +350,6 @@ def x10(s, d):
     return extract.reference_rows(extract.extract_symbols(_sources(s, d)))
 
 
-@q("X14_body_preview", r"SELECT doc_id, substring(array_to_string(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda l: regexp_matches(l, '\S'))[1:20], chr(10)), 1, 800) AS preview FROM documents WHERE text IS NOT NULL")
-def x14(s, d):
-    lines = F.filter(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n"), lambda x: x.rlike(r"\S"))
-    return table(s, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.substring(F.array_join(F.slice(lines, 1, 20), "\n"), 1, 800).alias("preview"))
-
-
-@q("X15_export_flag", "SELECT id, NOT starts_with(name, '_') AS exported FROM nodes")
-def x15(s, d):
-    return table(s, d, "nodes").select("id", (~F.col("name").startswith("_")).alias("exported"))
-
-
-@q("X16_test_flag", "SELECT id, contains(lower(file_path), 'test') OR starts_with(name, 'test_') AS test FROM nodes")
-def x16(s, d):
-    return table(s, d, "nodes").select("id", (F.contains(F.lower("file_path"), F.lit("test")) | F.col("name").startswith("test_")).alias("test"))
-
-
 CAPSULE = f"""WITH {HYBRID.replace(':candidates', '75')}, seeds AS (SELECT id, round(total, 4) AS score FROM hyb WHERE r <= 15),
 seedf AS (SELECT DISTINCT file_path FROM nodes WHERE id IN (SELECT id FROM seeds)), {expansion_sql("SELECT id FROM seeds")},
 ndeg AS (SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) WHERE id IN (SELECT id FROM near) GROUP BY 1),
@@ -397,13 +404,6 @@ def c11(s, d):
     return replay_runs(table(s, d, "file_cache"), table(s, d, "index_runs")).groupBy("run_id").agg(F.count(F.lit(1)).alias("files"))
 
 
-C13 = """WITH w AS (SELECT unnest(['cursor', 'stream', 'registry', 'symbol']) AS w),
-hits AS (SELECT w, doc_id, length(text) AS n FROM documents JOIN w ON contains(text, w)),
-top AS (SELECT w, greatest(1, sum(n) // 4)::INT AS base FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id) AS r FROM hits) WHERE r <= 3 GROUP BY w),
-b AS (SELECT 500::INT AS ours, base FROM top), x AS (SELECT *, round(base / ours::DOUBLE, 2) AS ratio, round(100 * (1 - ours / base::DOUBLE), 1) AS pct FROM b)
-SELECT count(*)::BIGINT AS n, round(avg(ratio), 6) AS avg_ratio, round(avg(pct), 6) AS avg_pct, count(*) FILTER (ours < base)::BIGINT AS wins, sum(ours)::BIGINT AS ours, sum(base)::BIGINT AS base, round(100 * (1 - sum(ours) / sum(base)::DOUBLE), 6) AS overall_pct FROM x"""
-
-
 WORDS = ("cursor", "stream", "registry", "symbol")
 
 
@@ -415,15 +415,9 @@ def _read_whole(s, d):
     return graph.first_of(hits, "w", 3, "doc_id").groupBy("w").agg(F.greatest(F.lit(1), F.floor(F.sum("n") / 4)).cast("int").alias("base"))
 
 
-@q("C13_grep_baseline", C13)
-def c13(s, d):
-    """Whole first three documents that contain a word against a budget of 500 tokens."""
-    return savings_summary(_read_whole(s, d).select(F.lit(500).alias("ours"), "base"))
-
-
 @q("C13_capsule_savings")
 def c13_capsule(s, d):
-    """The same against the text of each word's capsule, counted as ``cli.benchmark`` does. Without SQL: the capsule's text is rendered."""
+    """Whole first three documents that contain a word against the text of the word's capsule. Without SQL: the capsule's text is rendered."""
     ix = index(s, d)
     tokens = [(w, max(1, len(render.capsule_text(w, capsule.capsule(ix, w), 8000)) // 4)) for w in WORDS]
     ours = s.createDataFrame(tokens, "w string, ours int")

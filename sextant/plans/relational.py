@@ -11,6 +11,7 @@ from sextant.operators import graph, memory, rank
 from sextant.plans import views
 from sextant.plans.registry import Registry
 from sextant.session import table
+from sextant.sources.extract import strip_marks
 
 q = Registry()
 QUERIES, ORACLE = q.queries, q.sql
@@ -391,9 +392,17 @@ def e16(s, d):
     return table(s, d, "nodes").select("id", tx.diagram_id(F.col("fqn")).alias("mangled"))
 
 
-@q("E17_comment_marks", r"SELECT id, regexp_replace(docstring, '^\s*(/\*\*?|//[/!]?|#+|--+|\*)\s?', '') AS plain FROM nodes WHERE docstring IS NOT NULL")
+#: All white space there is, as SQL.
+BLANKS = " || ".join(f"chr({c})" for c in range(0x3001) if chr(c).isspace())
+E17 = rf"""WITH t AS (SELECT id, regexp_replace(regexp_replace(trim(docstring, {BLANKS}), '^\s*/\*+!?', ''), '\*+/\s*$', '') AS d FROM nodes WHERE docstring IS NOT NULL)
+SELECT id, trim(array_to_string(list_transform(string_split(d, chr(10)), lambda x: rtrim(regexp_replace(x, '^\s*(///?|//!|--+|#+|\*+)\s?', ''), {BLANKS})), chr(10)), {BLANKS}) AS plain FROM t"""
+
+
+@q("E17_comment_marks", E17)
 def e17(s, d):
-    return table(s, d, "nodes").where(F.col("docstring").isNotNull()).select("id", F.regexp_replace("docstring", r"^\s*(/\*\*?|//[/!]?|#+|--+|\*)\s?", "").alias("plain"))
+    """The extractor's own stripping of comment marks."""
+    strip = F.pandas_udf(lambda x: x.map(strip_marks), "string")
+    return table(s, d, "nodes").where(F.col("docstring").isNotNull()).select("id", strip("docstring").alias("plain"))
 
 
 @q("E18_heading_slug", r"SELECT doc_id, replace(substring(trim(regexp_replace(string_split(replace(text, chr(13), ''), chr(10))[1], '[^A-Za-z0-9_\s]', '', 'g'), ' '), 1, 60), ' ', '_') AS slug FROM documents WHERE text IS NOT NULL")

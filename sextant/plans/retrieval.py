@@ -232,12 +232,6 @@ def r05(s, d):
     return table(s, d, "search_results").select("query_id", "node_id", F.round("score", 4).alias("score"), F.round(b["bm25"], 3).alias("bm25"), F.round(b["graph"], 3).alias("graph")).distinct()
 
 
-@q("R06_role_scores", "SELECT fqn, CASE WHEN file_path IN (SELECT source_file FROM import_refs) THEN 0.3 ELSE 0.0 END::DOUBLE AS score FROM nodes")
-def r06(s, d):
-    f = table(s, d, "import_refs").select(F.col("source_file").alias("file_path")).distinct().withColumn("hit", F.lit(capsule.IMPORTER_SCORE))
-    return table(s, d, "nodes").join(f, "file_path", "left").select("fqn", F.coalesce("hit", F.lit(0.0)).alias("score"))
-
-
 @q("R07_penalties", "SELECT n.id, round(CASE WHEN coalesce(is_test, false) THEN s * 0.3 WHEN NOT coalesce(is_exported, true) THEN s * 0.85 ELSE s END, 6) AS score FROM nodes n JOIN (SELECT node_id, max(score) AS s FROM search_results GROUP BY 1) ON node_id = n.id")
 def r07(s, d):
     b = table(s, d, "search_results").groupBy(F.col("node_id").alias("id")).agg(F.max("score").alias("score"))

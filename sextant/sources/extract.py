@@ -449,7 +449,7 @@ def extract_lexed(path: str, text: str, lang: str) -> Found:
             test = test or "spec" in path.lower()
         if lang == "swift" and kind in SCOPES:
             test = "Test" in name
-        out.symbol(name, qualified, kind, line_of(b), line_of(max(b, e - 1)), re.sub(r"^(?:public|private|protected)\s*:\s*", "", " ".join(head.split())).rstrip("{;").strip(), doc_before(lines, line_of(b) - 1, cfg.line_comment), preview(inside.split("\n")), exported, test)
+        out.symbol(name, qualified, kind, line_of(b), line_of(max(b, e - 1)), re.sub(r"^(?:public|private|protected)\s*:\s*", "", " ".join(head.split())).rstrip("{;").strip(), "" if code[starts[line_of(b) - 1] : b].strip() else doc_before(lines, line_of(b) - 1, cfg.line_comment), preview(inside.split("\n")), exported, test)
         if scope:
             out.edge(scope[-1][2], f"{path}::{qualified}", "CONTAINS", line_of(b), CONTAINS_CONFIDENCE)
     callable_ = [n for n in names if n[3] not in SCOPES]

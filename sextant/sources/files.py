@@ -191,5 +191,5 @@ def source_slice(content: Column, start: Column, end: Column, default_lines: int
     """Lines start to end of a text, or ``default_lines`` from start where end is null."""
     lines = F.split(content, "\n")
     first = F.greatest(F.coalesce(start, F.lit(1)), F.lit(1))
-    n = F.coalesce(F.greatest(end - first + 1, F.lit(0)), F.lit(default_lines))
+    n = F.when(end.isNull(), F.lit(default_lines)).otherwise(F.greatest(end - first + 1, F.lit(0)))
     return F.array_join(F.slice(lines, first, n), "\n")
