@@ -76,6 +76,8 @@ class Engine:
             edges = edges.unionByName(self._edge_rows(store.merge_external_edges(self.store.read("lsp_edges"), nodes, edges)))
         vocab, sparse = vectors.tfidf_fit(nodes, vectors.embedding_text(nodes))
         tables = {"nodes": nodes, "call_refs": refs, "file_cache": cache, "edges": edges, "import_refs": graph.import_references(refs), "node_embeddings": vectors.sparse_json(sparse), "tfidf_vocab": vocab}
+        fulltext = lexical.FullText.build(nodes)
+        tables |= {"fts_postings": fulltext.postings, "fts_stats": fulltext.stats}
         if self.encoder is not None:
             dense = self.store.read("node_embeddings_dense").join(fresh.select(F.col("id").alias("node_id")), "node_id", "left_anti").join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
             tables["node_embeddings_dense"] = dense.unionByName(vectors.dense_build(fresh, self.encoder))
@@ -114,6 +116,8 @@ class Engine:
         """The current snapshot as an index."""
         has = self.store.meta().get("tables", {})
         ix = cap.Index(self.table("nodes"), self.table("edges"), self.table("import_refs"), self.table("co_change_edges"), self.table("file_lineage"), cross=self.table("cross_repo_edges"), observations=self.table("observations"), links=self.table("observation_node_links"))
+        if "fts_postings" in has:
+            ix = replace(ix, fulltext=lexical.FullText(self.table("fts_postings"), self.table("fts_stats")))
         if "node_embeddings_dense" in has and self.encoder is not None:
             d = self.table("node_embeddings_dense").select(F.col("node_id").alias("id"), "vector").where(F.size("vector") > 0)
             return replace(ix, dense=d.withColumn("length", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))), encoder=self.encoder())

@@ -30,6 +30,7 @@ class Index:
     links: DataFrame | None = None
     cross: DataFrame | None = None
     encoder: object | None = None
+    fulltext: lexical.FullText | None = None
 
 
 def semantic_scores(ix: Index, text: str, candidates: DataFrame, vector: list[float] | None = None) -> DataFrame:
@@ -47,7 +48,7 @@ def hybrid_search(ix: Index, query: str, limit: int = 20, kind: str | None = Non
 
     ``semantic_text`` replaces the query on the semantic side only; ``vector`` is its vector if already known.
     """
-    hits = cut(lexical.lexical_candidates(ix.nodes, query, 5 * limit, anchors))
+    hits = cut(lexical.lexical_candidates(ix.nodes, query, 5 * limit, anchors, ix.fulltext))
     fused = rank.fuse(hits, semantic_scores(ix, semantic_text or query, hits, vector), rank.graph_prior(hits, ix.nodes, ix.edges, ix.coupling, ix.lineage))
     return rank.hydrate(fused, ix.nodes, limit, kind)
 

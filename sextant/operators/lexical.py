@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import ACCENTS, PLAIN, STOPWORDS, fts_tokens
-from sextant.session import spread
+from sextant.session import cut, keep, spread
 
 #: Weights of the searched columns.
 FIELDS = {"name": 10.0, "fqn": 5.0, "docstring": 1.0, "signature": 2.0, "body_preview": 0.5}
@@ -44,7 +45,8 @@ def bm25_search(docs: DataFrame, query: str, fields: dict[str, float] | None = N
 
     score = sum over phrases of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average length)), tf being the weighted
     hits over the columns, length the tokens in all columns, idf = ln((N - n + 0.5) / (n + 0.5)) but at least 1e-6. Null columns are
-    empty. A query without words finds nothing. Two passes over the rows, no shuffle beside the statistics and the top rows.
+    empty. A query without words finds nothing. One pass over the texts, whose hits are written, and one over the hits. For repeated questions over the
+    same documents there is ``FullText``.
     """
     fields = fields or FIELDS
     ps = phrases(query)
@@ -55,7 +57,7 @@ def bm25_search(docs: DataFrame, query: str, fields: dict[str, float] | None = N
     wanted = F.array(*[F.array(*map(F.lit, p)) for p in ps])
     hits = F.transform(wanted, lambda p: sum((F.lit(w) * _hits(F.col(f"t_{f}"), p) for f, w in fields.items()), F.lit(0.0)))
     # inline keeps the filter on the hits above the projection, so that they are counted once for each row
-    h = t.select("id", F.inline(F.array(F.struct(length.alias("len"), hits.alias("h")))))
+    h = keep(t.select("id", F.inline(F.array(F.struct(length.alias("len"), hits.alias("h"))))))
     s = h.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col("h")[i] > 0).alias(f"n{i}") for i in range(len(ps))]).alias("s")).scalar()
     idf = lambda i: F.greatest(F.log((s["n"] - s[f"n{i}"] + 0.5) / (s[f"n{i}"] + 0.5)), F.lit(1e-6))
     part = lambda i: idf(i) * F.col("h")[i] * (K1 + 1) / (F.col("h")[i] + K1 * (1 - B + B * F.col("len") / s["avg"]))
@@ -73,6 +75,55 @@ def fts_index(docs: DataFrame, fields: dict[str, float] | None = None, id_col: s
     return t.groupBy("term", "id", "field").agg(F.count(F.lit(1)).alias("hits"), (F.min("pos") + 1).alias("first"))
 
 
+@dataclass
+class FullText:
+    """An inverted index for repeated questions: postings (term, id, field, positions, len) in order of their terms, and statistics of the documents (documents, average).
+
+    ``len`` is the number of tokens of the whole document, so that a question reads the postings of its own words and nothing else.
+    """
+
+    postings: DataFrame
+    stats: DataFrame
+
+    @classmethod
+    def build(cls, docs: DataFrame, fields: dict[str, float] | None = None, id_col: str = "id") -> FullText:
+        """The postings are ordered by term and id over all files, so a reader skips files and row groups of other words, and a very frequent word is in many files. Null columns are empty."""
+        t = keep(spread(docs.select(F.col(id_col).alias("id"), *(fields or FIELDS)), "id").select("id", F.map_from_arrays(F.array(*map(F.lit, fields or FIELDS)), F.array(*[fts_tokens(F.col(f)) for f in fields or FIELDS])).alias("tokens")))
+        t = t.withColumn("len", F.aggregate(F.map_values("tokens"), F.lit(0), lambda a, x: a + F.size(x)))
+        words = t.select("id", "len", F.explode("tokens").alias("field", "tokens")).select("id", "len", "field", F.posexplode("tokens").alias("pos", "term"))
+        p = words.groupBy("term", "id", "field").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.first("len").alias("len"))
+        stats = t.agg(F.count(F.lit(1)).alias("documents"), F.avg(F.col("len").cast("double")).alias("average"))
+        return cls(p.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), stats)
+
+    def stored(self) -> FullText:
+        """The same, written to the checkpoint folder."""
+        return FullText(keep(self.postings), keep(self.stats))
+
+    def search(self, query: str, fields: dict[str, float] | None = None, limit: int | None = 100) -> DataFrame:
+        """id, score: as ``bm25_search``, from the postings of the query's words."""
+        ps = phrases(query)
+        spark = self.postings.sparkSession
+        if not ps:
+            return spark.createDataFrame([], "id long, score double")
+        s = self.stats.first()
+        weight = spark.createDataFrame(list((fields or FIELDS).items()), "field string, weight double")
+        p = self.postings.where(F.col("term").isin(sorted({w for x in ps for w in x}))).join(F.broadcast(weight), "field")
+        words = spark.createDataFrame([(i, len(x), k, w) for i, x in enumerate(ps) for k, w in enumerate(x)], "phrase int, size int, offset int, term string")
+        at = p.join(F.broadcast(words), "term")
+        single = at.where(F.col("size") == 1).select("phrase", "id", "len", (F.col("weight") * F.size("positions")).alias("w"))
+        # a phrase stands where all of its words stand at their offsets
+        several = at.where(F.col("size") > 1).select("phrase", "size", "id", "len", "field", "weight", F.explode(F.transform("positions", lambda x: x - F.col("offset"))).alias("start"))
+        several = several.groupBy("phrase", "size", "id", "len", "field", "weight", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("size")).select("phrase", "id", "len", F.col("weight").alias("w"))
+        hits = keep(single.unionByName(several).groupBy("phrase", "id", "len").agg(F.sum("w").alias("h")))
+        n = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+        idf = F.greatest(F.log((s["documents"] - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+        part = idf * F.col("h") * (K1 + 1) / (F.col("h") + K1 * (1 - B + B * F.col("len") / F.lit(float(s["average"] or 1.0))))
+        # added up in the order of the phrases, as in a pass over the texts
+        out = hits.join(F.broadcast(n), "phrase").select("id", F.struct("phrase", part.alias("part")).alias("x")).groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+        out = out.select("id", F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x["part"]), 9).alias("score"))
+        return out if limit is None else out.orderBy(F.col("score").desc(), "id").limit(limit)
+
+
 def substring_search(docs: DataFrame, query: str, columns=("name", "fqn", "docstring", "signature"), limit: int = 100, words: int = 5) -> DataFrame:
     """id, score: one point for each of the query's first five words of three letters or more that occurs in any column, whatever its case. An underscore stands for any character."""
     tokens = [t for t in re.findall(r"[A-Za-z0-9_]{3,}", query)][:words]
@@ -93,9 +144,9 @@ def anchor_nodes(nodes: DataFrame, fqns: list[str]) -> DataFrame:
     return nodes.where(F.col("fqn").isin(fqns or [None])).select("id", F.lit(ANCHOR).alias("score"))
 
 
-def lexical_candidates(nodes: DataFrame, query: str, limit: int, anchors: list[str] | None = None) -> DataFrame:
-    """BM25 hits, then exact names, then anchors, each only where not found before: id, score."""
-    hits = bm25_search(nodes, query, limit=limit)
+def lexical_candidates(nodes: DataFrame, query: str, limit: int, anchors: list[str] | None = None, index: FullText | None = None) -> DataFrame:
+    """BM25 hits, from an index if there is one, then exact names, then anchors, each only where not found before: id, score."""
+    hits = cut(index.search(query, limit=limit) if index is not None else bm25_search(nodes, query, limit=limit))
     for more in (exact_names(nodes, query), anchor_nodes(nodes, anchors or [])):
         hits = hits.unionByName(more.join(hits, "id", "left_anti"))
     return hits

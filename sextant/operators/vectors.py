@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import dot, norm, vector_terms
 from sextant.operators.skew import heavy_counts, skew_join
-from sextant.session import cut
+from sextant.session import cut, keep
 
 MIN_DF, MAX_TERMS = 2, 20_000
 
@@ -42,7 +42,8 @@ def tfidf_fit(docs: DataFrame, text: Column, id_col: str = "id", min_df: int = M
 
     The vocabulary has at most ``max_terms`` rows and is broadcast. A document without a term of it has no rows; without any term both are empty.
     """
-    counts = term_counts(docs, text, id_col)
+    # written once: the vocabulary and the vectors both need them
+    counts = keep(term_counts(docs, text, id_col))
     vocab = cut(tfidf_vocabulary(counts, docs.agg(F.count(F.lit(1))).scalar(), min_df, max_terms))
     w = counts.join(F.broadcast(vocab), "term").select("id", "term", ((1 + F.log(F.col("n").cast("double"))) * F.col("idf")).alias("w"))
     lengths = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))

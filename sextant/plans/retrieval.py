@@ -32,6 +32,12 @@ def t02(s, d):
     return lexical.bm25_search(table(s, d, "nodes"), QUERY).select("id", F.round("score", 6).alias("score"))
 
 
+@q("T02_bm25_indexed", f"WITH {BM25} SELECT id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, id LIMIT 100")
+def t02_indexed(s, d):
+    """The same from a stored inverted index."""
+    return lexical.FullText.build(table(s, d, "nodes")).stored().search(QUERY).select("id", F.round("score", 6).alias("score"))
+
+
 LIKE = " + ".join(f"greatest({', '.join(f'coalesce({c} ILIKE {chr(39)}%{w}%{chr(39)}, false)::INT' for c in ('name', 'fqn', 'docstring', 'signature'))})" for w in ("order", "the", "pending", "cursor", "records"))
 
 

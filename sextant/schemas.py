@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-SCHEMA_VERSION = "8"
+SCHEMA_VERSION = "9"
 
 
 
@@ -21,6 +21,8 @@ CO_CHANGE = "file_a string, file_b string, coupling_score double, shared_commits
 FILE_LINEAGE = "file_path string, commit_count long, churn_score double, last_author string, last_commit_ts timestamp"
 EMBEDDINGS = "node_id long, vector_json string"
 TFIDF_VOCAB = "term string, df long, idf double"
+FTS_POSTINGS = "term string, id long, field string, positions array<int>, len int"
+FTS_STATS = "documents long, average double"
 DENSE = "node_id long, vector array<float>, model_name string"
 COMMITS = "commit string, file_path string, author string, ts timestamp"
 REQUEST_LOG = "ts timestamp, session string, event string, tool string, args map<string,string>, elapsed_ms double, result_chars long, result_tokens_approx long, preview string, error string"
@@ -29,4 +31,5 @@ TABLES = {
     "nodes": NODES, "edges": EDGES, "call_refs": CALL_REFS, "import_refs": IMPORT_REFS, "file_cache": FILE_CACHE, "observations": OBSERVATIONS,
     "observation_node_links": OBSERVATION_LINKS, "sessions": SESSIONS, "lsp_edges": LSP_EDGES, "cross_repo_edges": CROSS_REPO_EDGES, "co_change_edges": CO_CHANGE,
     "file_lineage": FILE_LINEAGE, "tfidf_vocab": TFIDF_VOCAB, "node_embeddings": EMBEDDINGS, "node_embeddings_dense": DENSE,
+    "fts_postings": FTS_POSTINGS, "fts_stats": FTS_STATS,
 }

@@ -41,3 +41,19 @@ def test_resolve_prefers_exact_names(spark):
     n = spark.createDataFrame(ROWS, SCHEMA).selectExpr("*", "'function' AS kind", "'f.py' AS file_path")
     got = {(r.asked, r.id, r.exact) for r in lexical.resolve_symbols(n, ["cursor", "Symbol", "nothing"]).collect()}
     assert got == {("cursor", 2, True), ("Symbol", 5, False)}
+
+
+@pytest.mark.parametrize("query", ["cursor", "order_signal of a cursor", "ete chaine symbol", "fetch symbol and the order", "the of", "nowhere at_all", "été_cursor order_signal order"])
+def test_stored_index_equals_one_pass(spark, query):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    index = lexical.FullText.build(docs).stored()
+    for limit in (None, 2):
+        want = {r.id: r.score for r in lexical.bm25_search(docs, query, limit=limit).collect()}
+        assert {r.id: r.score for r in index.search(query, limit=limit).collect()} == want
+    assert lexical.FullText.build(docs.limit(0)).stored().search(query).count() == 0
+
+
+def test_a_question_reads_its_own_words(spark):
+    index = lexical.FullText.build(spark.createDataFrame(ROWS, SCHEMA)).stored()
+    plan = index.postings.where(index.postings.term.isin(["cursor"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [EqualTo(term,cursor)]" in plan or "In(term" in plan or "IsNotNull(term), EqualTo(term,cursor)" in plan
