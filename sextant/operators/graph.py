@@ -109,7 +109,8 @@ def call_paths(nodes: DataFrame, edges: DataFrame, start_fqn: str, end_fqn: str,
     """path_no, path: the first ``max_paths`` simple paths of CALLS from one symbol to another with at most ``max_nodes`` nodes, shorter ones first, then by their FQNs.
 
     The distance of every node to the end is found first. Paths are then grown one length at a time, through nodes that can still reach the
-    end in time only, and growing stops with the length at which enough paths are complete.
+    end in time only, and growing stops with the length at which enough paths are complete. Of the shortest paths only the first ``max_paths`` ways to each node are kept at
+    every step: no node can be met twice on them, so what follows is the same for all ways to a node, and their number doesn't grow with the steps.
     """
     spark = nodes.sparkSession
     empty = spark.createDataFrame([], "path_no int, path array<string>")
@@ -130,6 +131,8 @@ def call_paths(nodes: DataFrame, edges: DataFrame, start_fqn: str, end_fqn: str,
         for i in range(1, length + 1):
             grown = p.join(step, F.col("at") == F.col("source_id")).where((F.col("left") <= length - i) & ~F.array_contains("ids", F.col("target_id")) & ((F.col("target_id") != b) | F.lit(i == length)))
             p = grown.select(F.col("target_id").alias("at"), F.concat("ids", F.array("target_id")).alias("ids"), F.concat("path", F.array(F.coalesce("next_fqn", F.col("target_id").cast("string")))).alias("path"))
+            if length == near.hop and i < length:
+                p = first_of(p, "at", max_paths, "path")
         p = cut(p.where(F.col("at") == b).select(F.lit(length).alias("length"), "path").distinct().orderBy("path").limit(max_paths))
         found = p if found is None else found.unionByName(p)
         done += p.count()

@@ -415,6 +415,13 @@ def _read_whole(s, d):
     return graph.first_of(hits, "w", 3, "doc_id").groupBy("w").agg(F.greatest(F.lit(1), F.floor(F.sum("n") / 4)).cast("int").alias("base"))
 
 
+@q("C13_grep_baseline", """WITH w AS (SELECT unnest(['cursor', 'stream', 'registry', 'symbol']) AS w), hits AS (SELECT w, doc_id, length(text) AS n FROM documents JOIN w ON contains(text, w))
+SELECT w, greatest(1, sum(n) // 4)::INT AS base FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id) AS r FROM hits) WHERE r <= 3 GROUP BY w""")
+def c13(s, d):
+    """What reading the whole first three documents with each word costs."""
+    return _read_whole(s, d)
+
+
 @q("C13_capsule_savings")
 def c13_capsule(s, d):
     """Whole first three documents that contain a word against the text of the word's capsule. Without SQL: the capsule's text is rendered."""
