@@ -49,7 +49,8 @@ class Engine:
         if not self.store.is_current_version() and self.store.current() is not None:
             self.store.reset()
         if tree is None:
-            tree = files.read_tree(self.spark, self.root)
+            # shared storage is listed and read by Spark, a local tree with its links and ignore files by the data source
+            tree = files.read_stored_tree(self.spark, self.root) if "://" in self.root else files.read_tree(self.spark, self.root)
         if langs is not None:
             tree = tree.where(F.col("lang").isin(*langs))
         # only paths and hashes of the whole tree are looked at; contents are read of new and changed files
@@ -83,7 +84,7 @@ class Engine:
             tables["node_embeddings_dense"] = dense.unionByName(vectors.dense_build(fresh, self.encoder))
         if "observation_node_links" in self.store.meta().get("tables", {}):
             tables["observation_node_links"] = self.store.read("observation_node_links").join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("observation_id", "node_id")
-        if commits is None and self.root is not None and with_coupling:
+        if commits is None and self.root is not None and "://" not in self.root and with_coupling:
             commits = git.read_commits(self.spark, self.root)
         if commits is not None:
             commits = cut(commits)

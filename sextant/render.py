@@ -26,11 +26,21 @@ def capsule_text(query: str, nodes: DataFrame, budget: int, observations: DataFr
     return "\n".join(out)
 
 
-def impact_text(root: str, rows: DataFrame, form: str = "tree") -> str:
-    """Dependents as a tree, a list or a mermaid diagram."""
-    found = sorted(rows.collect(), key=lambda r: (r.depth, r.fqn))
+#: Dependents that are shown at most; how many there are is said in any case.
+MOST_SHOWN = 2000
+
+
+def impact_text(root: str, rows: DataFrame, form: str = "tree", most: int = MOST_SHOWN) -> str:
+    """Dependents as a tree, a list or a mermaid diagram: the first ``most`` by depth and name, and the number of all."""
+    found = rows.orderBy("depth", "fqn").limit(most + 1).collect()
     if not found:
         return f"Nothing depends on `{root}`"
+    if len(found) > most:
+        return f"{_impact_text(root, found[:most], form)}\nThe first {most} of {rows.count()}"
+    return _impact_text(root, found, form)
+
+
+def _impact_text(root: str, found: list, form: str) -> str:
     if form == "list":
         return "\n".join([f"# Dependents of `{root}`"] + [f"- depth {r.depth} [{r.edge_type}] {r.kind} `{r.fqn}` ({r.file_path})" for r in found])
     if form == "mermaid":

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import importlib.util
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -42,7 +44,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sextant-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="sextant-checkpoint-")
+        # a local session's own folder goes with its process; a shared one belongs to the cluster
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

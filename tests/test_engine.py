@@ -139,6 +139,21 @@ def test_what_was_submitted_and_linked_outlives_updates(spark, project, tmp_path
         (project / "tests/test_math.py").write_text(gone)
 
 
+def test_a_tree_on_shared_storage(spark, project, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), f"file://{project}")
+    assert e.index()["new"] == 3
+    assert {r.file_path for r in e.table("nodes").collect()} == set(FILES)
+
+
+def test_many_dependents_are_not_all_shown(spark):
+    from sextant import render
+
+    rows = spark.createDataFrame([(f"a.py::f{i:02d}", "a.py", "function", 1, "CALLS", "a.py::r") for i in range(30)], "fqn string, file_path string, kind string, depth int, edge_type string, target_fqn string")
+    text = render.impact_text("a.py::r", rows, "list", 10)
+    assert text.count("- depth") == 10 and text.endswith("The first 10 of 30")
+    assert render.impact_text("a.py::r", rows, "list", 30).count("- depth") == 30
+
+
 def test_two_writers_lose_nothing(spark, tmp_path):
     from sextant.operators.store import Store
 
