@@ -17,6 +17,8 @@ from sextant.session import cut, keep
 
 #: Parts in which the lives of one key are merged first, so that a key with very many lives loads no single task.
 MERGE_PARTS = 16
+#: A key with fewer lives than this is never taken for a crowded one.
+FEW_LIVES = 64
 
 
 def merge_lives(df: DataFrame, keys: list[str], parts: int = MERGE_PARTS) -> DataFrame:
@@ -39,6 +41,26 @@ def merge_lives(df: DataFrame, keys: list[str], parts: int = MERGE_PARTS) -> Dat
     return d.select(*keys, "born", F.when(F.col("died") < far, F.col("died")).alias("died"))
 
 
+def _days(start: Column, end: Column) -> Column:
+    return F.sequence(F.datediff(start, F.lit("1970-01-01")), F.datediff(end, F.lit("1970-01-01")))
+
+
+def _orphans_of_crowded(refs: DataFrame, lives: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Rows of ``refs`` without a life at their time, for keys with very many lives: these are merged, then key and day are the key of the join.
+
+    So no task has more than the lives of one key on one day. A row without a time has a life, as its key has some.
+    """
+    span = refs.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    timed = refs.where(F.col(at).isNotNull())
+    if span["a"] is None:
+        return timed
+    first, last = F.lit(span["a"]), F.lit(span["b"])
+    l = merge_lives(lives, keys).where((F.col("born") <= last) & (F.col("died").isNull() | (F.col("died") > first)))
+    l = l.withColumn("__day", F.explode(_days(F.greatest("born", first), F.least(F.coalesce("died", last), last)))).withColumnsRenamed({"born": "__born", "died": "__died"})
+    alive = lambda r, x: (x["__born"] <= r[at]) & (x["__died"].isNull() | (x["__died"] > r[at]))
+    return skew_join(timed.withColumn("__day", F.datediff(at, F.lit("1970-01-01"))), l, [*keys, "__day"], "left_anti", condition=alive).drop("__day")
+
+
 def orphan_references(refs: DataFrame, parents: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Rows of ``refs`` whose key was not live in ``parents`` at the time ``at``.
 
@@ -46,7 +68,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: list[str], at:
     Rows with a null in a key refer to nothing and are no cases. A null ``at`` can't be placed in time: such a row is
     a case only if its key has no life at all. Repeated rows are cases each. All columns of ``refs`` are kept.
 
-    The distinct keys, the heavy ones and those that fail are written to the checkpoint folder, so that none is worked out twice.
+    The distinct keys, the heavy ones and those that fail are written to the checkpoint folder, so that none is worked out twice. Keys that hold a large part of
+    the lives go a way of their own, on which lives are divided by day.
     """
     present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     refs = refs.where(present)
@@ -54,15 +77,23 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: list[str], at:
     # one aggregation gives the keys with their times and the heavy ones among them
     fk = keep(refs.groupBy(*keys).agg(F.min(at).alias("__first"), F.max(at).alias("__last"), F.count(F.lit(1)).alias("__n")))
     heavy = cut(heavy_counts(fk.select(*keys, "__n"), keys))
+    lives_of = keep(parents.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= FEW_LIVES))
+    crowded = cut(heavy_counts(lives_of, keys).select(*keys))
+    apart = not crowded.isEmpty()
+    some = parents.join(F.broadcast(crowded), keys, "left_anti") if apart else parents
     same = lambda a, b, names: reduce(lambda x, y: x & y, [a[k] == b[n] for k, n in zip(keys, names)])
     pk = [f"__p{i}" for i in range(len(keys))]
-    p = parents.select(*[F.col(k).alias(n) for k, n in zip(keys, pk)], F.col("born").alias("__born"), F.col("died").alias("__died"))
+    p = some.select(*[F.col(k).alias(n) for k, n in zip(keys, pk)], F.col("born").alias("__born"), F.col("died").alias("__died"))
     whole = (p["__born"] <= fk["__first"]) & (p["__died"].isNull() | (p["__died"] > fk["__last"]))
     suspects = cut(fk.join(p, same(fk, p, pk) & (fk["__first"].isNull() | whole), "left_anti").select(*keys))
     rows = skew_join(refs, suspects, keys, "left_semi", heavy=heavy)
     alive = lambda l, r: l[at].isNull() | ((r["__born"] <= l[at]) & (r["__died"].isNull() | (r["__died"] > l[at])))
-    lives = parents.select(*keys, F.col("born").alias("__born"), F.col("died").alias("__died"))
-    return skew_join(rows, lives, keys, "left_anti", condition=alive, heavy=heavy)
+    lives = some.select(*keys, F.col("born").alias("__born"), F.col("died").alias("__died"))
+    if not apart:
+        return skew_join(rows, lives, keys, "left_anti", condition=alive, heavy=heavy)
+    hot = F.broadcast(crowded)
+    out = skew_join(rows.join(hot, keys, "left_anti"), lives, keys, "left_anti", condition=alive, heavy=heavy)
+    return out.unionByName(_orphans_of_crowded(refs.join(hot, keys, "left_semi"), parents.join(hot, keys, "left_semi"), keys, at).select(*out.columns))
 
 
 def node_lives(nodes: DataFrame, library: DataFrame) -> DataFrame:

@@ -71,6 +71,16 @@ def test_orphans_by_time(spark):
     assert orphans.orphan_references(refs, parents.where(F.lit(False)), ["k"], "recorded_at").count() == 8
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_a_parent_with_very_many_lives(spark, seed):
+    r = random.Random(seed)
+    lives = [(1, day(3 * i), day(3 * i + r.choice([1, 2, 5]))) for i in range(80)] + [(2, day(i), day(i + 1)) for i in range(1, 30, 2)] + [(k, day(r.randrange(200)), None) for k in range(3, 60)]
+    refs = [(i, r.choice([1, 1, 1, 2, 2, 7, 99, None]), r.choice([None, day(r.randrange(-5, 260)) + dt.timedelta(hours=r.randrange(24))])) for i in range(400)]
+    want = sorted(i for i, k, t in refs if k is not None and not any(k == x and (t is None or b <= t and (e is None or t < e)) for x, b, e in lives))
+    got = orphans.orphan_references(spark.createDataFrame(refs, "id long, k long, recorded_at timestamp"), spark.createDataFrame(lives, "k long, born timestamp, died timestamp"), ["k"], "recorded_at")
+    assert sorted(x.id for x in got.collect()) == want and want
+
+
 def test_merge_lives(spark):
     df = spark.createDataFrame([("a", day(0), day(2)), ("a", day(1), day(3)), ("a", day(3), day(4)), ("a", day(6), None), ("a", day(7), day(8)), ("b", day(1), day(1)), ("b", None, day(2))], "k string, born timestamp, died timestamp")
     assert [(r.k, r.born, r.died) for r in orphans.merge_lives(df, ["k"]).orderBy("born").collect()] == [("a", day(0), day(4)), ("a", day(6), None)]
