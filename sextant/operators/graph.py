@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.paths import module_candidates
 from sextant.operators.skew import HEAVY_SHARE, heavy_keys, skew_join
-from sextant.session import cut
+from sextant.session import cut, keep
 
 MIN_CONFIDENCE, MAX_FANOUT = 0.75, 40
 
@@ -91,9 +91,9 @@ def impact(nodes: DataFrame, edges: DataFrame, fqn: str, depth: int = 5, cross:
 def reachable(pairs: DataFrame, start: DataFrame, hops: int = 10) -> DataFrame:
     """id, hop: nodes reachable from the start (id) over pairs (source_id, target_id) within ``hops``, with the least number of hops; the start has 0.
 
-    Stops early when a level finds nothing new; each level is written to the checkpoint folder and anti-joined with what was seen.
+    Stops early when a level finds nothing new; the distinct pairs are written once, and each level is written to the checkpoint folder and anti-joined with what was seen.
     """
-    p = pairs.select("source_id", "target_id").distinct()
+    p = keep(pairs.select("source_id", "target_id").where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull()).distinct())
     seen = cut(start.select("id").distinct().withColumn("hop", F.lit(0)))
     front = seen
     for h in range(1, hops + 1):
@@ -114,7 +114,7 @@ def call_paths(nodes: DataFrame, edges: DataFrame, start_fqn: str, end_fqn: str,
     """
     spark = nodes.sparkSession
     empty = spark.createDataFrame([], "path_no int, path array<string>")
-    calls = edges.where(F.col("type") == "CALLS").select("source_id", "target_id").where(F.col("source_id") != F.col("target_id")).distinct()
+    calls = keep(edges.where(F.col("type") == "CALLS").select("source_id", "target_id").where(F.col("source_id") != F.col("target_id")).distinct())
     ends = nodes.where(F.col("fqn").isin(start_fqn, end_fqn)).select("id", "fqn").collect()
     ids = {r.fqn: r.id for r in ends}
     if start_fqn not in ids or end_fqn not in ids:
