@@ -76,3 +76,30 @@ def test_isotonic():
     f = reading.isotonic(y, w)
     assert (np.diff(f) >= -1e-12).all() and abs((f * w).sum() - (y * w).sum()) < 1e-9
     assert (reading.isotonic(np.arange(5.0), np.ones(5)) == np.arange(5.0)).all()
+
+
+def test_every_labelled_document_counts(spark):
+    # each word is in two labelled documents only, and in one without a label
+    n = 12_000
+    word = F.translate(F.lpad((F.col("id") % n).cast("string"), 5, "0"), "0123456789", "abcdefghij")
+    docs = spark.range(3 * n).select(F.col("id").alias("doc_id"), F.repeat(F.concat(word, F.lit(" ")), 40).alias("text"), F.lit("en").alias("lang"), F.lit("readme").alias("doc_kind"))
+    labels = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % n % 2 == 0, 1).otherwise(4).alias("reading_level"))
+    got = reading.reading_levels(docs, labels).where(F.col("doc_id") >= 2 * n)
+    assert got.count() == n and got.where(F.col("reading_level") != F.when(F.col("doc_id") % 2 == 0, 1).otherwise(4)).count() == 0
+
+
+@pytest.mark.parametrize("head", [0, 40, 2000])
+def test_the_head_does_not_change_the_result(spark, monkeypatch, head):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "reading_labels"))
+    levels = lambda: sorted((r.doc_id, r.reading_level) for r in reading.reading_levels(docs, labels).collect())
+    model, tail = reading.train(docs, labels)
+    whole = levels()
+    assert tail is None and len({v for _, v in whole}) == 4
+    monkeypatch.setattr(reading, "MAX_HEAD", head)
+    monkeypatch.setattr(reading, "HELD", 50)
+    monkeypatch.setattr(reading, "MAX_BROADCAST_LABELS", 0)
+    part, tail = reading.train(docs, labels)
+    assert len(part.number) + (part.keys >= 0).sum() <= head and tail.count() == len(model.number) + len(model.keys) - len(part.number) - (part.keys >= 0).sum()
+    assert (part.total == model.total).all() and (part.map == model.map).all()
+    assert levels() == whole
