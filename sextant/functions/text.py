@@ -25,17 +25,27 @@ def vector_terms(c: Column) -> Column:
     return F.coalesce(F.filter(runs, lambda t: t.rlike(r"^[a-z_][\p{L}\p{N}_]{2,}$")), F.array().cast("array<string>"))
 
 
+def _once(c: Column, use) -> Column:
+    """``use`` of a value that is computed once for each row. Written out, it is computed again at each mention, and within a lambda for each element."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def _first_of_case(words: Column) -> Column:
+    """The words without those that differ from an earlier one in case only. By sorting, so in n log n steps for any number of words."""
+    keyed = F.sort_array(F.transform(words, lambda t, i: F.struct(F.lower(t).alias("folded"), i.alias("at"))))
+    kept = _once(keyed, lambda k: F.filter(k, lambda x, i: (i == 0) | (x.folded != F.get(k, i - 1).folded)))
+    return F.transform(F.sort_array(F.transform(kept, lambda x: x["at"])), lambda i: F.get(words, i))
+
+
 def query_terms(c: Column) -> Column:
     """Identifier-like words of a query in order: at least three characters, no stop words, each once whatever its case."""
-    words = F.filter(F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z0-9_]*"), F.lit(0)), lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(STOPWORDS))
-    folded = F.transform(words, F.lower)
-    return F.filter(words, lambda t, i: F.array_position(folded, F.lower(t)) == i + 1)
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z0-9_]{2,}"), F.lit(0)))
+    return _once(F.filter(found, lambda t: ~F.lower(t).isin(STOPWORDS)), _first_of_case)
 
 
 def fts_query(c: Column) -> Column:
     """Query terms joined by OR; a query without terms is its own first 50 characters."""
-    t = query_terms(c)
-    return F.when(F.size(t) > 0, F.array_join(t, " OR ")).otherwise(F.substring(c, 1, 50))
+    return _once(query_terms(c), lambda t: F.when(F.size(t) > 0, F.array_join(t, " OR ")).otherwise(F.substring(c, 1, 50)))
 
 
 def approx_tokens(c: Column) -> Column:

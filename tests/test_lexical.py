@@ -1,9 +1,13 @@
 """BM25 against SQLite's full-text search."""
 
+import re
 import sqlite3
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from sextant.functions import text as tx
 from sextant.operators import lexical
 
 ROWS = [
@@ -57,3 +61,23 @@ def test_a_question_reads_its_own_words(spark):
     index = lexical.FullText.build(spark.createDataFrame(ROWS, SCHEMA)).stored()
     plan = index.postings.where(index.postings.term.isin(["cursor"]))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [EqualTo(term,cursor)]" in plan or "In(term" in plan or "IsNotNull(term), EqualTo(term,cursor)" in plan
+
+
+def query_by_hand(text):
+    seen = {}
+    for w in re.findall("[A-Za-z][A-Za-z0-9_]*", text):
+        if len(w) >= 3 and w.lower() not in tx.STOPWORDS:
+            seen.setdefault(w.lower(), w)
+    return " OR ".join(seen.values()) or text[:50]
+
+
+def test_query_terms_of_long_texts(spark):
+    """A text's words are found once, not again for each of its words: the seconds are far from those of a quadratic search."""
+    long = " ".join(f"{'Name' if (i + i // 6000) % 2 else 'nAME'}_{i * 7919 % 6000} The of" for i in range(12000))
+    texts = [long, "Cursor cursor CURSOR order Order", "_ab 9abc ab_ a1 x__ été_cursor", "THE of 12", "", "é" * 60, "12 \U0001f600 " * 20, "The Thee the thee"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", tx.fts_query(F.col("text")).alias("fts"))
+    began = time.time()
+    got = {r.id: r.fts for r in df.collect()}
+    assert time.time() - began < 30
+    assert got == {i: query_by_hand(t) for i, t in enumerate(texts)}
+    assert spark.createDataFrame([(None,)], "text string").select(tx.fts_query(F.col("text")).alias("fts")).first().fts is None
